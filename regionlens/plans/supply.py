@@ -96,8 +96,13 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     FROM ey GROUP BY entity""",
 )
 def entity_summary(t: Tables) -> DataFrame:
+    return rounded(entity_table(t))
+
+
+def entity_table(t: Tables) -> DataFrame:
+    """Every entity with its attributes, means over years and focus share."""
     attributes = ("zone", "rural", "tribal")
-    return rounded(summarise_entities(entity_years(t, True, attributes), attributes))
+    return summarise_entities(entity_years(t, True, attributes), attributes)
 
 
 @query(
