@@ -137,13 +137,14 @@ def map_entities(
 
 
 def roll_up_postings(
-    postings: DataFrame, key: Column, first: Sequence[str] = ("soc_title", "ed_req", "focus_flag"),
+    postings: DataFrame, key: Column, first: Sequence[str] = ("ed_req", "focus_flag"),
     family: str = "industry_", weight: str | None = None,
 ) -> DataFrame:
     """County rows to zone, year and occupation: sum, mean population, first attributes in key order.
 
     Columns that start with `family` are taken along the same way. Rows without a zone are dropped
-    and an unknown focus flag becomes 0.
+    and an unknown focus flag becomes 0. Attributes are numeric codes and the key one number, which
+    keeps the aggregation in hash tables; text that depends on the occupation is looked up afterwards.
     """
     carried = [*first, *[c for c in postings.columns if c.startswith(family)]]
     population = F.avg("population") if weight is None else weighted_mean(F.col("population"), F.col(weight))

@@ -90,16 +90,23 @@ def rank_groups_and_items(
 ) -> DataFrame:
     """Order groups by total and items inside a group by their largest single value, both descending.
 
-    Groups come from a fixed code table; both ranks are found on aggregates and joined back.
+    `df` is aggregated: inside a `by` key it holds a row per combination of codes. It is partitioned
+    once by that key, which serves all four windows.
     """
-    items = df.groupBy(*by, group, item).agg(F.sum(value).alias("_sum"), F.max(value).alias("_largest"))
-    groups = items.groupBy(*by, group).agg(F.sum("_sum").alias("group_total"))
-    groups = rank_in_domain(groups, [descending("group_total"), ascending(group)], by, "group_rank")
-    items = rank_in_domain(items, [descending("_largest"), ascending(item)], [*by, group], "item_rank")
-    return (
-        df.join(items.drop("_sum", "_largest"), [*by, group, item])
-        .join(groups, [*by, group])
+    inside = Window.partitionBy(*by, group)
+    ranked = df.repartition(*by) if by else df
+    ranked = ranked.withColumns(
+        {
+            "group_total": F.sum(value).over(inside),
+            "_largest": F.max(value).over(Window.partitionBy(*by, group, item)),
+        }
     )
+    return ranked.withColumns(
+        {
+            "group_rank": F.dense_rank().over(Window.partitionBy(*by).orderBy(descending("group_total"), ascending(group))),
+            "item_rank": F.dense_rank().over(inside.orderBy(descending("_largest"), ascending(item))),
+        }
+    ).drop("_largest")
 
 
 def order_by_summary(df: DataFrame, item: str, value: str, by: Sequence[str] = ()) -> DataFrame:

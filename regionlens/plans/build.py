@@ -84,8 +84,8 @@ def map_supply(supply: DataFrame) -> DataFrame:
 
 
 def occupation_flags(occupations: DataFrame, industries: Sequence[str]) -> DataFrame:
-    """Occupation table with a 0/1 column `industry_…` per listed industry."""
-    ids = ["soc", "soc_title", "ed_req", "focus_flag"]
+    """Occupation table with a 0/1 column `industry_…` per listed industry, without the title."""
+    ids = ["soc", "ed_req", "focus_flag"]
     wide = snake_names(one_hot(occupations, ids, "industry", industries))
     return wide.withColumnsRenamed({c: f"industry_{c}" for c in wide.columns if c not in ids})
 
@@ -102,7 +102,9 @@ def demand_fact(
     zoned = look_up(known, labels.select("county", "zone"), "county")
     described = look_up(zoned, occupation_flags(occupations, industries), "soc")
     counted = look_up(described, county_population(population), ["county", "year"])
-    return roll_up_postings(counted, F.struct("county", "total"))
+    rolled = roll_up_postings(counted, F.col("county"))
+    titles = occupations.groupBy("soc").agg(F.min("soc_title").alias("soc_title"))
+    return look_up(rolled, titles, "soc")
 
 
 def map_zones(demand: DataFrame, labels: DataFrame, population: DataFrame, max_year: int = 2023) -> DataFrame:

@@ -34,13 +34,13 @@ from regionlens.plans.facts import (
     demand_by_occupation,
     demand_by_order,
     demand_orders,
+    occupations,
     supply_by_unit,
-    supply_lines,
     units,
 )
 from regionlens.plans.registry import query
 from regionlens.plans.supply import rounded
-from regionlens.sources.readers import outside_year, year_choice
+from regionlens.sources.readers import before_year, outside_year, year_choice
 
 PARTIAL_YEAR = 2001
 LAST_FULL_YEAR = 2000
@@ -174,17 +174,20 @@ def leaders_zone_per1000(t: Tables) -> DataFrame:
     f"""WITH {DEMAND_SQL}
     SELECT zone, year, soc, CAST(sum(total) AS BIGINT) AS total, round(CAST(sum(population) AS DOUBLE) / count(population), 6) AS population,
            min(soc_title) AS soc_title,
-           first(ed_req ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ed_req,
-           coalesce(first(focus_flag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey), 0) AS focus_flag
-    FROM d GROUP BY zone, year, soc""",
+           first(ed_req ORDER BY l_orderkey) AS ed_req, coalesce(first(order_flag ORDER BY l_orderkey), 0) AS focus_flag
+    FROM (SELECT *, max(focus_flag) OVER (PARTITION BY l_orderkey, soc) AS order_flag FROM d) GROUP BY zone, year, soc""",
 )
 def fact_zone_year_code(t: Tables) -> DataFrame:
-    return rounded(roll_up_postings(demand_by_occupation(t, first_flag=True), F.col("order_key"), weight="rows"))
+    """Orders as county rows. The numeric attributes come from the first order, the title from the code."""
+    rolled = roll_up_postings(demand_by_occupation(t), F.col("order_key"), ["ed_req", "focus_flag"], weight="rows")
+    titles = occupations(t).select("soc", "soc_title").distinct()
+    return rounded(look_up(rolled, titles, "soc"))
 
 
 def county_years(t: Tables) -> DataFrame:
     """County populations: one row per county and year with an order."""
-    return demand_orders(t).select("county", "zone_code", "zone", "segment", "year", "population").distinct()
+    orders = demand_orders(t, "zone_code", "zone", "segment", "population")
+    return orders.select("county", "zone_code", "zone", "segment", "year", "population").distinct()
 
 
 COUNTY_YEAR_SQL = DEMAND_SQL + """,
@@ -223,7 +226,7 @@ def label_to_zone_unique(t: Tables) -> DataFrame:
 )
 def join_left_multikey(t: Tables) -> DataFrame:
     """Postings next to awards of the same zone and year; awards are known up to 1999."""
-    awards = supply_by_unit(supply_lines(t)).where(F.col("year") <= 1999).join(units(t).select("unitid", "zone"), "unitid")
+    awards = supply_by_unit(t, when=before_year(F.col("l_shipdate"), 2000)).join(units(t, "zone"), "unitid")
     by_zone = awards.groupBy("zone", "year").agg(F.sum("total").alias("awards"))
     return look_up(zone_years(t).select("zone", "year", "total"), by_zone, ["zone", "year"])
 

@@ -29,7 +29,6 @@ from regionlens.plans.facts import (
     ZONE_YEAR_SQL,
     Tables,
     occupations,
-    quantity,
     supply_by_unit,
     supply_lines,
 )
@@ -62,7 +61,7 @@ def scan_project_filter(t: Tables) -> DataFrame:
     """Focus rows of one year through a named table; both conditions reach the scan."""
     table = named_table(t.read("lineitem"), "lineitem_table")
     rows = table.where((F.col("l_returnflag") == "R") & in_year(F.col("l_shipdate"), 1997))
-    return rows.select(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("unitid"), quantity().alias("awards"))
+    return rows.selectExpr("l_orderkey AS order_id", "l_suppkey AS unitid", "CAST(l_quantity AS BIGINT) AS awards")
 
 
 @query(
@@ -111,7 +110,7 @@ def cast_fips_codes(t: Tables) -> DataFrame:
 )
 def classify_programs(t: Tables) -> DataFrame:
     """Awards per program code with its family."""
-    by_part = supply_lines(t).groupBy("part_id").agg(F.sum("total").alias("total"))
+    by_part = supply_lines(t, "part_id", "total").groupBy("part_id").agg(F.sum("total").alias("total"))
     parts = t.read("part", "p_partkey", "p_brand").toDF("part_id", "code")
     by_code = by_part.join(parts, "part_id").groupBy("code").agg(F.sum("total").alias("total"))
     return classify_program(by_code, "code").select("code", "total", "family")
@@ -227,7 +226,7 @@ def popup_text(t: Tables) -> DataFrame:
         ("Focus", comma(focus)),
         ("Share", percent_fixed(F.col("focus_share"))),
     )
-    return mapped(t).select("entity", "year", popup.alias("popup"))
+    return mapped(t, "zone").select("entity", "year", popup.alias("popup"))
 
 
 @query(
@@ -344,7 +343,7 @@ def csv_roundtrip(t: Tables) -> DataFrame:
 def partitioned_roundtrip(t: Tables) -> DataFrame:
     """Yearly sums of every unit written by year; one year is read back from its directory."""
     path = scratch_path(t.spark, "units-by-year")
-    write_partitions(supply_by_unit(supply_lines(t)), path, "year", sort=["unitid"])
+    write_partitions(supply_by_unit(t), path, "year", sort=["unitid"])
     return read_partitions(t.spark, path, year=1999)
 
 
@@ -408,7 +407,7 @@ def export_zone_year_table(t: Tables) -> DataFrame:
 def geojson_point_features(t: Tables) -> DataFrame:
     """Located entities as one GeoJSON collection of points per year, parsed back."""
     path = scratch_path(t.spark, "points")
-    located = mapped(t).where(F.col("longitude").isNotNull() & F.col("latitude").isNotNull())
+    located = mapped(t, "zone", "longitude", "latitude").where(F.col("longitude").isNotNull() & F.col("latitude").isNotNull())
     properties = ["year", "entity", "zone", "focus", "focus_share"]
     geometry = point_geometry(F.col("longitude"), F.col("latitude"))
     write_features_by_year(located, path, geometry, properties, ["entity", "unitid"])

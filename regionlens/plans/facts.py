@@ -11,13 +11,34 @@ lines reaches the shuffle as a few rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionlens.functions.numbers import first_by, flagged
+from regionlens.functions.numbers import first_by
 from regionlens.sources.readers import read_parquet
 
 
+# Columns of the star-schema tables. Declared, so that opening a table starts no job.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+}
+
+
 class Tables:
     """Parquet tables of one folder, read on demand."""
 
@@ -26,176 +47,166 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def read(self, name: str, *columns: str) -> DataFrame:
-        return read_parquet(self.spark, f"{self.folder}/{name}.parquet", columns)
+        return read_parquet(self.spark, f"{self.folder}/{name}.parquet", columns, SCHEMAS[name])
 
 
 def year_of(moment: str) -> Column:
     return F.year(moment)
 
 
-def quantity() -> Column:
-    return F.col("l_quantity").cast("bigint")
-
+def shaped(df: DataFrame, expressions: dict[str, str], names: Sequence[str]) -> DataFrame:
+    """The asked columns of a view given as SQL expressions."""
+    return df.selectExpr(*[f"{expressions[name]} AS `{name}`" for name in names])
 
-def returned() -> Column:
-    """1 for a returned line, 0 for an accepted one, null for an open one."""
-    return F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 0)
-
-
-def line_key() -> Column:
-    return F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
+# A returned line is in focus, an accepted one is not, for an open one it is unknown.
+FOCUS_FLAG = "CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 END"
+QUANTITY = "CAST(l_quantity AS BIGINT)"
+FOCUS = f"CASE l_returnflag WHEN 'R' THEN {QUANTITY} ELSE 0 END"
 
 # --- supply -----------------------------------------------------------------------------------
 
-
-def supply_lines(t: Tables) -> DataFrame:
+# Enrolment is the same on all rows of a unit and year; the site is known on part of a unit's rows.
+LINES = {
+    "unitid": "l_suppkey",
+    "part_id": "l_partkey",
+    "order_key": "l_orderkey",
+    "year": "year(l_shipdate)",
+    "award_level": "l_linenumber",
+    "total": QUANTITY,
+    "focus": FOCUS,
+    "enrolled": "1000 + (l_suppkey * 7 + year(l_shipdate)) % 500",
+    "site": "CASE WHEN l_returnflag <> 'N' THEN l_suppkey % 50 END",
+}
+
+UNITS = {
+    "unitid": "s_suppkey",
+    "entity": "s_name",
+    "n_nationkey": "s_nationkey",
+    "rural": "CASE WHEN s_acctbal >= 5000 THEN 1 WHEN s_acctbal >= 0 THEN 0 END",
+    "tribal": "CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END",
+    "longitude": "CASE WHEN s_suppkey % 10 <> 0 THEN round(CAST(s_suppkey * 37 % 5900 AS DOUBLE) / 100 - 125, 2) END",
+    "latitude": "CASE WHEN s_suppkey % 10 <> 5 THEN round(CAST(s_suppkey * 17 % 2400 AS DOUBLE) / 100 + 25, 2) END",
+}
+
+
+def supply_lines(t: Tables, *names: str, when: Column | None = None) -> DataFrame:
+    """Columns of the supply fact. `when` is a condition on the stored columns and reaches the scan."""
     lines = t.read("lineitem")
-    return lines.select(
-        F.col("l_suppkey").alias("unitid"),
-        F.col("l_partkey").alias("part_id"),
-        line_key().alias("key"),
-        F.col("l_shipdate").alias("moment"),
-        year_of("l_shipdate").alias("year"),
-        F.col("l_linenumber").alias("award_level"),
-        quantity().alias("total"),
-        flagged(quantity(), returned()).alias("focus"),
-        F.col("l_extendedprice").cast("bigint").alias("enrolled"),
-        F.when(F.col("l_returnflag") == "R", F.col("l_partkey")).alias("focus_part"),
-    )
+    return shaped(lines if when is None else lines.where(when), LINES, names)
 
 
-def units(t: Tables) -> DataFrame:
-    """One row per supplier with its zone and attributes."""
-    key, balance = F.col("s_suppkey"), F.col("s_acctbal")
-    suppliers = t.read("supplier").select(
-        key.alias("unitid"),
-        F.col("s_name").alias("entity"),
-        F.col("s_nationkey").alias("n_nationkey"),
-        F.when(balance >= 5000, 1).when(balance >= 0, 0).alias("rural"),
-        F.when(balance < 0, 1).otherwise(0).alias("tribal"),
-        F.when(key % 10 != 0, F.round((key * 37 % 5900) / 100 - 125, 2)).alias("longitude"),
-        F.when(key % 10 != 5, F.round((key * 17 % 2400) / 100 + 25, 2)).alias("latitude"),
-    )
+def units(t: Tables, *attributes: str) -> DataFrame:
+    """Suppliers with the attributes asked for; the zone is joined only if it is among them."""
+    if "zone" not in attributes:
+        return shaped(t.read("supplier"), UNITS, ["unitid", *attributes])
+    own = [a for a in attributes if a != "zone"]
     nations = t.read("nation", "n_nationkey", "n_name").withColumnRenamed("n_name", "zone")
-    return suppliers.join(nations, "n_nationkey").drop("n_nationkey")
+    return shaped(t.read("supplier"), UNITS, ["unitid", *own, "n_nationkey"]).join(nations, "n_nationkey").drop("n_nationkey")
 
 
 def programs(t: Tables) -> DataFrame:
-    return t.read("part", "p_partkey", "p_brand", "p_name").toDF("part_id", "code", "title")
+    return t.read("part").selectExpr("p_partkey AS part_id", "p_brand AS code", "p_name AS title")
 
 
-def supply_by_unit(lines: DataFrame, enrolment: bool = False) -> DataFrame:
-    """Unit and year before any join. The enrolment of the first line is ordered by a struct, which
-    Spark aggregates by sorting, so it is only taken where a query asks for it."""
-    first = [first_by(F.col("enrolled"), F.col("key")).alias("enrolled")] if enrolment else []
-    return lines.groupBy("unitid", "year").agg(F.sum("total").alias("total"), F.sum("focus").alias("focus"), *first)
+def supply_by_unit(t: Tables, *extra: Column, reads: Sequence[str] = (), when: Column | None = None) -> DataFrame:
+    """Unit and year, summed before any join."""
+    lines = supply_lines(t, "unitid", "year", "total", "focus", *reads, when=when)
+    return lines.groupBy("unitid", "year").agg(F.sum("total").alias("total"), F.sum("focus").alias("focus"), *extra)
 
 
-def supply_by_entity(t: Tables, enrolment: bool = False) -> DataFrame:
-    """Unit and year over the whole fact, with the unit's attributes."""
-    return supply_by_unit(supply_lines(t), enrolment).join(units(t), "unitid")
+def supply_by_entity(t: Tables, *attributes: str, enrolment: bool = False) -> DataFrame:
+    """Unit and year over the whole fact, with the unit's name and attributes."""
+    if enrolment:
+        first = first_by(F.col("enrolled"), F.col("order_key")).alias("enrolled")
+        sums = supply_by_unit(t, first, reads=["order_key", "enrolled"])
+    else:
+        sums = supply_by_unit(t)
+    return sums.join(units(t, "entity", *attributes), "unitid")
 
 
-def supply_by_program(t: Tables, with_year: bool = False) -> DataFrame:
-    """Unit, program and award level (and year), summed before and after the programs are joined."""
+def focus_by_program(t: Tables, with_year: bool = False) -> DataFrame:
+    """Focus awards per unit, program and award level (and year).
+
+    Lines without focus awards add nothing and are dropped at the scan. The rest is summed per unit
+    before the units are joined.
+    """
     time = ["year"] if with_year else []
-    lines = supply_lines(t).groupBy("unitid", "part_id", "award_level", *time).agg(
-        F.sum("total").alias("total"), F.sum("focus").alias("focus")
-    )
-    by_code = lines.join(programs(t), "part_id").groupBy("unitid", "code", "title", "award_level", *time).agg(
-        F.sum("total").alias("total"), F.sum("focus").alias("focus")
-    )
-    return by_code.join(units(t).select("unitid", "entity", "zone"), "unitid")
+    focus_only = F.col("l_returnflag") == "R"
+    lines = supply_lines(t, "unitid", "part_id", "award_level", "focus", *time, when=focus_only).join(programs(t), "part_id")
+    sums = lines.groupBy("unitid", "code", "title", "award_level", *time).agg(F.sum("focus").alias("focus"))
+    return sums.join(units(t, "entity"), "unitid")
 
 
 # --- demand -----------------------------------------------------------------------------------
 
 
-def residents(t: Tables) -> DataFrame:
-    """One row per customer with its zone and population."""
-    customers = t.read("customer").select(
-        F.col("c_custkey").alias("county"),
-        F.col("c_nationkey").alias("n_nationkey"),
-        F.col("c_mktsegment").alias("segment"),
-        F.when(F.col("c_acctbal") > 0, F.col("c_acctbal").cast("decimal(12,2)")).alias("population"),
-    )
-    nations = t.read("nation", "n_nationkey", "n_name").toDF("zone_code", "zone")
-    return customers.join(nations, F.col("n_nationkey") == F.col("zone_code")).drop("n_nationkey")
+def residents(t: Tables, *names: str) -> DataFrame:
+    """Customers as counties with the zone and population columns asked for."""
+    columns = {
+        "county": "c_custkey",
+        "segment": "c_mktsegment",
+        "population": "CASE WHEN c_acctbal > 0 THEN CAST(c_acctbal AS DECIMAL(12,2)) END",
+        "zone_code": "n_nationkey",
+        "zone": "n_name",
+    }
+    customers, nations = t.read("customer"), t.read("nation", "n_nationkey", "n_name")
+    return shaped(customers.join(nations, customers["c_nationkey"] == nations["n_nationkey"]), columns, ["county", *names])
 
 
-def demand_orders(t: Tables, when: Column | None = None) -> DataFrame:
-    """One row per order with zone, year, education requirement and population.
+def demand_orders(t: Tables, *names: str, when: Column | None = None) -> DataFrame:
+    """One row per order: its key, county and year, the education code, and the county's columns.
 
-    `when` is a condition on the order date and reaches the scan.
+    The education requirement is kept as its numeric code. `when` reaches the scan of the orders.
     """
-    orders = t.read("orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    if when is not None:
-        orders = orders.where(when)
-    dated = orders.select(
-        F.col("o_orderkey").alias("order_key"),
-        F.col("o_custkey").alias("county"),
-        year_of("o_orderdate").alias("year"),
-        F.col("o_orderpriority").alias("ed_req"),
-    )
-    return dated.join(residents(t), "county")
+    orders = t.read("orders")
+    columns = {
+        "order_key": "o_orderkey",
+        "county": "o_custkey",
+        "year": "year(o_orderdate)",
+        "ed_req": "CAST(substr(o_orderpriority, 1, 1) AS INT)",
+    }
+    own = ["order_key", "county", "year", *[n for n in names if n in columns]]
+    dated = shaped(orders if when is None else orders.where(when), columns, own)
+    return dated.join(residents(t, *[n for n in names if n not in columns]), "county")
 
 
-def posting_lines(t: Tables) -> DataFrame:
-    """Order key, total, focus and number of lines: one row per order, ready to join on its key."""
-    return (
-        t.read("lineitem", "l_orderkey", "l_quantity", "l_returnflag")
-        .select(F.col("l_orderkey").alias("order_key"), quantity().alias("total"), flagged(quantity(), returned()).alias("focus"))
-        .groupBy("order_key")
-        .agg(F.sum("total").alias("total"), F.sum("focus").alias("focus"), F.count(F.lit(1)).alias("rows"))
+def occupations(t: Tables) -> DataFrame:
+    return t.read("part").selectExpr(
+        "p_partkey AS part_id",
+        "lpad(CAST(p_size AS STRING), 2, '0') || '-' || p_type AS soc",
+        "p_type || ' grade ' || CAST(p_size AS STRING) AS soc_title",
     )
 
 
-def occupations(t: Tables) -> DataFrame:
-    parts = t.read("part", "p_partkey", "p_size", "p_type")
-    size = F.col("p_size").cast("string")
-    return parts.select(
-        F.col("p_partkey").alias("part_id"),
-        F.concat(F.lpad(size, 2, "0"), F.lit("-"), F.col("p_type")).alias("soc"),
-        F.concat(F.col("p_type"), F.lit(" grade "), size).alias("soc_title"),
+def demand_by_order(t: Tables, when: Column | None = None) -> DataFrame:
+    """The demand fact per order; `rows` is the number of original rows.
+
+    Lines are summed per order first. That shuffle is the one the join needs, and an order that
+    holds a large part of all lines crosses it as one row per task.
+    """
+    lines = t.read("lineitem").selectExpr("l_orderkey AS order_key", f"{QUANTITY} AS total", f"{FOCUS} AS focus")
+    sums = lines.groupBy("order_key").agg(
+        F.sum("total").alias("total"), F.sum("focus").alias("focus"), F.count(F.lit(1)).alias("rows")
     )
+    return sums.join(demand_orders(t, "zone", "population", when=when), "order_key")
 
 
-def posting_lines_by_occupation(t: Tables, focus_only: bool = False, first_flag: bool = False) -> DataFrame:
-    """Order and occupation: totals and number of lines, on request the flag of the first line."""
-    lines = t.read("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+def demand_by_occupation(t: Tables, when: Column | None = None, focus_only: bool = False) -> DataFrame:
+    """The demand fact per order and occupation. An occupation is in focus in an order if any line is."""
+    lines = t.read("lineitem")
     if focus_only:
         lines = lines.where(F.col("l_returnflag") == "R")
-    shaped = lines.select(
-        F.col("l_orderkey").alias("order_key"),
-        F.col("l_partkey").alias("part_id"),
-        F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("key"),
-        quantity().alias("total"),
-        returned().alias("focus_flag"),
+    named = lines.selectExpr(
+        "l_orderkey AS order_key", "l_partkey AS part_id", f"{QUANTITY} AS total", f"{FOCUS} AS focus", f"{FOCUS_FLAG} AS focus_flag"
+    ).join(occupations(t), "part_id")
+    sums = named.groupBy("order_key", "soc", "soc_title").agg(
+        F.sum("total").alias("total"),
+        F.sum("focus").alias("focus"),
+        F.max("focus_flag").alias("focus_flag"),
+        F.count(F.lit(1)).alias("rows"),
     )
-    first = [F.min(F.struct("key", "focus_flag"))["focus_flag"].alias("focus_flag")] if first_flag else []
-    return (
-        shaped.join(occupations(t), "part_id")
-        .groupBy("order_key", "soc", "soc_title")
-        .agg(
-            F.sum("total").alias("total"),
-            F.sum(flagged(F.col("total"), F.col("focus_flag"))).alias("focus"),
-            F.count(F.lit(1)).alias("rows"),
-            *first,
-        )
-    )
-
-
-def demand_by_order(t: Tables, when: Column | None = None) -> DataFrame:
-    """The demand fact per order; `rows` is the number of original rows."""
-    return posting_lines(t).join(demand_orders(t, when), "order_key")
-
-
-def demand_by_occupation(
-    t: Tables, when: Column | None = None, focus_only: bool = False, first_flag: bool = False
-) -> DataFrame:
-    """The demand fact per order and occupation."""
-    return posting_lines_by_occupation(t, focus_only, first_flag).join(demand_orders(t, when), "order_key")
+    return sums.join(demand_orders(t, "zone", "population", "ed_req", when=when), "order_key")
 
 
 # --- the same facts as SQL, row by row ----------------------------------------------------------
@@ -212,8 +223,8 @@ s AS (
   SELECT u.*, CAST(year(l_shipdate) AS INTEGER) AS year, p_brand AS code, p_name AS title, l_linenumber AS award_level,
          CAST(l_quantity AS BIGINT) AS total,
          CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS focus,
-         CAST(trunc(l_extendedprice) AS BIGINT) AS enrolled,
-         CASE WHEN l_returnflag = 'R' THEN l_partkey END AS focus_part,
+         CAST(1000 + (l_suppkey * 7 + year(l_shipdate)) % 500 AS BIGINT) AS enrolled,
+         CASE WHEN l_returnflag <> 'N' THEN l_suppkey % 50 END AS site,
          l_orderkey, l_linenumber, l_partkey, l_suppkey
   FROM lineitem JOIN units u ON l_suppkey = u.unitid JOIN part ON l_partkey = p_partkey)"""
 
@@ -231,7 +242,7 @@ d AS (
          CAST(year(o_orderdate) AS INTEGER) AS year,
          lpad(CAST(p_size AS VARCHAR), 2, '0') || '-' || p_type AS soc,
          p_type || ' grade ' || CAST(p_size AS VARCHAR) AS soc_title,
-         o_orderpriority AS ed_req,
+         CAST(o_orderpriority[1:1] AS INTEGER) AS ed_req,
          CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN 0 END AS focus_flag,
          CAST(l_quantity AS BIGINT) AS total,
          CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS focus,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionlens.functions.codes import classify_award, classify_program
-from regionlens.functions.numbers import first_by, ratio_or_zero, sum_or_zero
+from regionlens.functions.numbers import first_by, ratio, ratio_or_zero, sum_or_zero
 from regionlens.functions.text import comma, percent_text
 from regionlens.operators.aggregates import (
     against_national,
@@ -34,8 +34,8 @@ from regionlens.plans.facts import (
     ENTITY_YEAR_SQL,
     SUPPLY_SQL,
     Tables,
+    focus_by_program,
     supply_by_entity,
-    supply_by_program,
     supply_by_unit,
     supply_lines,
     units,
@@ -53,7 +53,7 @@ def entity_years(t: Tables, enrolment: bool = False, attributes: tuple[str, ...]
     carried = [first_by(F.col(a), F.col("unitid")).alias(a) for a in attributes]
     if enrolment:
         carried.append(first_by(F.col("enrolled"), F.col("unitid")).alias("enrolled"))
-    return yearly_supply(supply_by_entity(t, enrolment), extra=carried)
+    return yearly_supply(supply_by_entity(t, *attributes, enrolment=enrolment), extra=carried)
 
 
 @query(
@@ -109,22 +109,22 @@ def entity_table(t: Tables) -> DataFrame:
     "map_entity_year",
     f"""WITH {SUPPLY_SQL}
     SELECT year, unitid, entity, min(zone) AS zone, min(latitude) AS latitude, min(longitude) AS longitude,
-           first(focus_part ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) FILTER (WHERE focus_part IS NOT NULL) AS focus_part,
+           first(site ORDER BY l_orderkey) FILTER (WHERE site IS NOT NULL) AS site,
            CAST(sum(total) AS BIGINT) AS total, CAST(sum(focus) AS BIGINT) AS focus,
            round(CAST(sum(focus) AS DOUBLE) / sum(total), 6) AS focus_share
     FROM s GROUP BY year, unitid, entity""",
 )
 def map_entity_year(t: Tables) -> DataFrame:
-    """Map table with, per unit and year, the first known focus program in line order."""
-    sums = map_entities(supply_lines(t), F.col("key"), ["focus_part"], ["year", "unitid"])
-    placed = sums.join(units(t).select("unitid", "entity", "zone", "latitude", "longitude"), "unitid")
-    return rounded(placed)
+    """Map table with, per unit and year, the first known site."""
+    lines = supply_lines(t, "year", "unitid", "order_key", "site", "total", "focus")
+    sums = map_entities(lines, F.col("order_key"), ["site"], ["year", "unitid"])
+    return rounded(sums.join(units(t, "entity", "zone", "latitude", "longitude"), "unitid"))
 
 
-def mapped(t: Tables) -> DataFrame:
-    """Map table without the program: year, unit, place, sums, share."""
-    yearly = supply_by_unit(supply_lines(t)).withColumn("focus_share", F.when(F.col("total") > 0, F.col("focus") / F.col("total")))
-    return yearly.join(units(t), "unitid")
+def mapped(t: Tables, *attributes: str) -> DataFrame:
+    """Map table without the program: year, unit, name, sums, share and the attributes asked for."""
+    yearly = supply_by_unit(t).withColumn("focus_share", ratio(F.col("focus"), F.col("total")))
+    return yearly.join(units(t, "entity", *attributes), "unitid")
 
 
 @query(
@@ -133,7 +133,8 @@ def mapped(t: Tables) -> DataFrame:
     SELECT year, entity, unitid, row_number() OVER (PARTITION BY year ORDER BY entity, unitid) AS id FROM ey""",
 )
 def row_id_per_year(t: Tables) -> DataFrame:
-    rows = mapped(t).select("year", "entity", "unitid")
+    active = supply_lines(t, "year", "unitid").distinct()
+    rows = active.join(units(t, "entity"), "unitid").select("year", "entity", "unitid")
     return ordinal(rows, [ascending("entity"), ascending("unitid")], ["year"], "id")
 
 
@@ -144,8 +145,8 @@ def row_id_per_year(t: Tables) -> DataFrame:
 )
 def distinct_sorted_by_year(t: Tables, year: int | str | None = None) -> DataFrame:
     """The choice list of every year, or of the year a text or number parameter names."""
-    active = supply_lines(t).select("unitid", "year").distinct().where(year_choice(year))
-    names = active.join(units(t).select("unitid", "entity"), "unitid").select("year", "entity").distinct()
+    active = supply_lines(t, "unitid", "year").distinct().where(year_choice(year))
+    names = active.join(units(t, "entity"), "unitid").select("year", "entity").distinct()
     return ordinal(names.where(F.col("entity").isNotNull()), [ascending("entity")], ["year"], "position")
 
 
@@ -159,8 +160,8 @@ def search_entity_regex(t: Tables, term: str = "SUPPLIER#0+[37]$", year: int = 1
     """First entity of the year whose name matches, ignoring case; no row if there is none."""
     name = F.col("entity")
     match = F.lower(name).contains(term.lower()) if literal else name.rlike(f"(?i){term}")
-    found = units(t).where(match).select("unitid", "entity", "zone")
-    lines = supply_lines(t).where(in_year(F.col("moment"), year)).join(found, "unitid")
+    found = units(t, "entity", "zone").where(match)
+    lines = supply_lines(t, "unitid", "year", "total", "focus", when=in_year(F.col("l_shipdate"), year)).join(found, "unitid")
     sums = lines.groupBy("entity", "zone", "year").agg(sum_or_zero(F.col("total")).alias("total"), sum_or_zero(F.col("focus")).alias("focus"))
     return sums.orderBy(ascending("entity"), ascending("zone")).limit(1)
 
@@ -182,7 +183,7 @@ def trend_vs_national(t: Tables, entity: str | None = None) -> DataFrame:
 
 def program_mix(t: Tables, year: int | str | None = None) -> DataFrame:
     """Focus awards per entity, program and level, positive sums only, for one year or all."""
-    chosen = supply_by_program(t, with_year=year is not None).where(year_choice(year))
+    chosen = focus_by_program(t, with_year=year is not None).where(year_choice(year))
     return mix(chosen, ["entity", "code", "title", "award_level"])
 
 
@@ -278,13 +279,13 @@ def mix_item_counts(t: Tables) -> DataFrame:
     FROM s JOIN last USING (entity, year) GROUP BY entity, year, code, award_level HAVING sum(focus) > 0""",
 )
 def latest_year_mix(t: Tables) -> DataFrame:
-    """Each entity's mix in its own last year. Rows are summed before the last year is joined back."""
-    sums = (
-        supply_by_program(t, with_year=True)
-        .groupBy("entity", "year", "code", "award_level")
-        .agg(sum_or_zero(F.col("focus")).alias("focus"))
-    )
-    return rows_of_latest(sums, "entity", "year").where(F.col("focus") > 0)
+    """Each entity's mix in its own last year, which is the last with any award, focus or not.
+
+    Both sides are sums, so the join sees an entity at most once per program, level and year.
+    """
+    last = supply_by_entity(t).groupBy("entity").agg(F.max("year").alias("year"))
+    sums = mix(focus_by_program(t, with_year=True), ["entity", "year", "code", "award_level"])
+    return sums.join(last, ["entity", "year"])
 
 
 def entity_means(t: Tables) -> DataFrame:

@@ -15,8 +15,12 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("nullValue", "NA").csv(path)
 
 
-def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+def read_parquet(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, schema: str | None = None
+) -> DataFrame:
+    """Parquet scan. With a schema no file is opened before the query runs."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    df = reader.parquet(path)
     return df.select(*columns) if columns else df
 
 
@@ -55,6 +59,10 @@ def in_year(moment: Column, year: int) -> Column:
     return (moment >= F.lit(datetime(year, 1, 1))) & (moment < F.lit(datetime(year + 1, 1, 1)))
 
 
+def before_year(moment: Column, year: int) -> Column:
+    return moment < F.lit(datetime(year, 1, 1))
+
+
 def outside_year(moment: Column, year: int) -> Column:
     return (moment < F.lit(datetime(year, 1, 1))) | (moment >= F.lit(datetime(year + 1, 1, 1)))
 

@@ -14,7 +14,7 @@ COMPLETIONS = (
     "ft_enrolled bigint, web string, latitude double, longitude double"
 )
 POSTINGS = "county int, county_name string, year int, soc string, total bigint"
-OCCUPATIONS = "soc string, soc_title string, ed_req string, focus_flag int, industry string"
+OCCUPATIONS = "soc string, soc_title string, ed_req int, focus_flag int, industry string"
 POPULATION = "geoid string, population double, margin double, year int"
 
 ENTITY_TABLE = (
