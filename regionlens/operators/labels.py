@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionlens.functions.numbers import count_values
+from regionlens.operators.skew import hot_keys, look_up_spread
+from regionlens.session import materialize
 
 # Fixed value: cities with at least this part of the largest population share the label.
 SHARE_OF_LARGEST = 0.8
@@ -78,12 +80,21 @@ def label_chain(zones: DataFrame, by_city: DataFrame, by_county: DataFrame, zone
 
 
 def dedupe_labels(labels: DataFrame, zone: str = "zone_code", name: str = "zone") -> DataFrame:
-    """Append ` (CZ code)` where several zones share a label."""
+    """Append ` (CZ code)` where several zones share a label. A label most zones share is spread out."""
     uses = labels.groupBy(name).agg(F.count(F.lit(1)).alias("_uses"))
+    counted = look_up_spread(labels, uses, name, hot_keys(uses, name, "_uses"), [zone])
     tagged = F.concat(F.col(name), F.lit(" (CZ "), F.col(zone).cast("string"), F.lit(")"))
-    return labels.join(uses, name).select(
-        zone, F.when(F.col("_uses") > 1, tagged).otherwise(F.col(name)).alias(name)
-    )
+    return counted.select(zone, F.when(F.col("_uses") > 1, tagged).otherwise(F.col(name)).alias(name))
+
+
+def _name_counts(df: DataFrame, unit: str, name: str, when: str) -> DataFrame:
+    return df.groupBy(unit, when, name).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _latest_of(counts: DataFrame, unit: str, name: str, when: str) -> DataFrame:
+    key = F.struct((-F.col(when)).alias("y"), (-F.col("_n")).alias("n"), F.col(name).isNull().alias("u"), F.col(name).alias("v"))
+    known = counts.where(F.col(when).isNotNull())
+    return known.groupBy(unit).agg(F.min(key)["v"].alias(name))
 
 
 def latest_names(df: DataFrame, unit: str, name: str, when: str) -> DataFrame:
@@ -91,16 +102,19 @@ def latest_names(df: DataFrame, unit: str, name: str, when: str) -> DataFrame:
 
     One aggregate over counts: the smallest of (-year, -count, name), so no unit is sorted in a task.
     """
-    counts = df.groupBy(unit, when, name).agg(F.count(F.lit(1)).alias("_n"))
-    key = F.struct((-F.col(when)).alias("y"), (-F.col("_n")).alias("n"), F.col(name).isNull().alias("u"), F.col(name).alias("v"))
-    return counts.groupBy(unit).agg(F.min(key)["v"].alias(name))
+    return _latest_of(_name_counts(df, unit, name, when), unit, name, when)
 
 
 def use_latest_name(df: DataFrame, unit: str, name: str, when: str) -> DataFrame:
-    """Every row under the latest name of its unit."""
-    canonical = latest_names(df, unit, name, when).withColumnRenamed(name, "_latest")
-    columns = [F.col("_latest").alias(name) if c == name else F.col(c) for c in df.columns]
-    return df.join(canonical, unit, "left").select(*columns)
+    """Every row under the latest name of its unit. Units with very many rows are spread out.
+
+    The counts are written once: the names and the hot units both come from them.
+    """
+    counts = materialize(_name_counts(df, unit, name, when), "name-counts")
+    canonical = _latest_of(counts, unit, name, when).withColumnRenamed(name, "_latest")
+    others = [c for c in df.columns if c != unit]
+    renamed = look_up_spread(df, canonical, unit, hot_keys(counts, unit, "_n"), others)
+    return renamed.select(*[F.col("_latest").alias(name) if c == name else F.col(c) for c in df.columns])
 
 
 def largest_zone_per_label(population: DataFrame, zone: str = "zone_code", label: str = "zone", value: str = "population") -> DataFrame:

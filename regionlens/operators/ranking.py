@@ -34,19 +34,16 @@ def ordinal(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name
     sliced = materialize(
         df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_slice", F.spark_partition_id()), "ordinal"
     )
-    sizes = sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *[F.col(c).alias(f"_by_{c}") for c in by],
-        F.col("_slice").alias("_by_slice"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
-    )
-    inside = Window.partitionBy(*by, "_slice").orderBy(*order)
-    numbered = sliced.withColumn("_inside", F.row_number().over(inside))
-    same = F.col("_slice") == F.col("_by_slice")
-    for column in by:
-        same = same & F.col(column).eqNullSafe(F.col(f"_by_{column}"))
-    return numbered.join(offsets, same).select(*df.columns, (F.col("_inside") + F.col("_offset")).alias(name))
+    # One struct key holds the group, so that a null group matches itself and the window's
+    # partitioning serves the join as well.
+    group = F.struct(F.lit(0).alias("_"), *by).alias("_group")
+    sizes = sliced.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_group", "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_group", "_slice").orderBy(*order)
+    numbered = sliced.withColumn("_group", group).withColumn("_inside", F.row_number().over(inside))
+    joined = numbered.join(offsets, ["_group", "_slice"])
+    return joined.select(*df.columns, (F.col("_inside") + F.col("_offset")).alias(name))
 
 
 def rank_in_domain(df: DataFrame, order: Sequence[Column], by: Sequence[str], name: str) -> DataFrame:

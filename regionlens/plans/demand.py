@@ -235,7 +235,8 @@ def occupation_mix(t: Tables, year: int | str | None = None) -> DataFrame:
     """Focus postings per zone, occupation and education requirement, complete years, with totals."""
     facts = demand_by_occupation(t, complete_years(), focus_only=True).where(year_choice(year))
     sums = mix(facts.where(F.col("soc_title").isNotNull() & F.col("soc").isNotNull()), ["zone", "soc", "soc_title", "ed_req"])
-    labelled = classify_occupation(sums, "soc").drop("group_full")
+    # A zone has at most one row per occupation and level. Bringing it together once serves all windows.
+    labelled = classify_occupation(sums, "soc").drop("group_full").repartition("zone")
     totals = group_total(labelled, "focus", ["zone", "soc_title"], "title_total")
     return group_total(totals, "focus", ["zone", "group"], "group_total")
 

@@ -25,6 +25,7 @@ from regionlens.operators.labels import (
 from regionlens.operators.ranking import ascending, descending, ordinal
 from regionlens.plans.facts import Tables, year_of
 from regionlens.plans.registry import query
+from regionlens.session import materialize
 
 # The order priorities, most urgent first, with the names used for columns and labels.
 PRIORITIES = [
@@ -190,14 +191,17 @@ def label_with_missing(t: Tables) -> DataFrame:
 
 
 def places(t: Tables) -> DataFrame:
-    """Zone, segment and region with the customers' summed positive balances as population."""
+    """Zone, segment and region with the customers' summed positive balances as population.
+
+    Written once, as the labels read it several times.
+    """
     customers = t.read("customer", "c_nationkey", "c_mktsegment", "c_acctbal")
     sums = customers.groupBy("c_nationkey", "c_mktsegment").agg(
         F.sum(F.when(F.col("c_acctbal") > 0, F.col("c_acctbal").cast("decimal(12,2)"))).alias("population")
     )
     zones = t.read("nation", "n_nationkey", "n_regionkey")
     regions = t.read("region", "r_regionkey", "r_name")
-    return (
+    named = (
         sums.join(zones, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
@@ -207,11 +211,11 @@ def places(t: Tables) -> DataFrame:
             F.col("population").cast("double").alias("population"),
         )
     )
+    return materialize(named, "places")
 
 
-def cities(t: Tables) -> DataFrame:
+def cities(known: DataFrame) -> DataFrame:
     """Places of at least the mean population, as city lists leave out small places."""
-    known = places(t)
     mean = known.select(F.round(F.avg("population"), 2)).scalar()
     return known.where(F.col("population") >= mean)
 
@@ -235,7 +239,7 @@ ch AS (SELECT n_nationkey AS zone_code, coalesce(cl.zone, fl.zone, 'CZ ' || CAST
 
 @query("zone_label_dominant", f"WITH {PLACES_SQL} SELECT zone_code, zone FROM cl")
 def zone_label_dominant(t: Tables) -> DataFrame:
-    return dominant_city_label(cities(t))
+    return dominant_city_label(cities(places(t)))
 
 
 @query("zone_label_fallback", f"WITH {PLACES_SQL} SELECT zone_code, zone FROM fl")
@@ -245,7 +249,8 @@ def zone_label_fallback(t: Tables) -> DataFrame:
 
 def chained(t: Tables) -> DataFrame:
     zones = t.read("nation").select(F.col("n_nationkey").alias("zone_code"))
-    return label_chain(zones, dominant_city_label(cities(t)), county_list_label(places(t)))
+    known = places(t)
+    return label_chain(zones, dominant_city_label(cities(known)), county_list_label(known))
 
 
 @query("zone_label_chain", f"WITH {PLACES_SQL} SELECT zone_code, zone FROM ch")

@@ -17,7 +17,7 @@ from regionlens.operators.aggregates import (
     supply_rates,
     yearly_supply,
 )
-from regionlens.operators.joins import rows_of_latest
+from regionlens.operators.joins import look_up
 from regionlens.operators.ranking import (
     ascending,
     group_total,
@@ -41,7 +41,7 @@ from regionlens.plans.facts import (
     units,
 )
 from regionlens.plans.registry import query
-from regionlens.session import scratch_path
+from regionlens.session import materialize, scratch_path
 from regionlens.sources.readers import in_year, read_or_build, year_choice
 from regionlens.sources.schemas import NATIONAL_SUPPLY
 
@@ -100,9 +100,14 @@ def entity_summary(t: Tables) -> DataFrame:
 
 
 def entity_table(t: Tables) -> DataFrame:
-    """Every entity with its attributes, means over years and focus share."""
-    attributes = ("zone", "rural", "tribal")
-    return summarise_entities(entity_years(t, True, attributes), attributes)
+    """Every entity with its attributes, means over years and focus share.
+
+    Attributes are carried as numbers, the zone as its code, which gets its name at the end.
+    """
+    attributes = ("n_nationkey", "rural", "tribal")
+    zones = t.read("nation", "n_nationkey", "n_name").withColumnRenamed("n_name", "zone")
+    table = summarise_entities(entity_years(t, True, attributes), attributes)
+    return look_up(table, zones, "n_nationkey").drop("n_nationkey")
 
 
 @query(
@@ -176,7 +181,8 @@ def search_entity_regex(t: Tables, term: str = "SUPPLIER#0+[37]$", year: int = 1
     SELECT entity, year, 'national', round(value, 6) FROM span JOIN nat ON year BETWEEN lo AND hi""",
 )
 def trend_vs_national(t: Tables, entity: str | None = None) -> DataFrame:
-    yearly = entity_years(t)
+    """Both series from one pass over the fact: the yearly sums are written once."""
+    yearly = materialize(entity_years(t), "entity-years")
     own = yearly if entity is None else yearly.where(F.col("entity") == entity)
     return rounded(against_national(own, national_supply(yearly), "entity", "focus", "mean_focus"))
 

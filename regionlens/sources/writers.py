@@ -81,7 +81,8 @@ def write_features_by_year(
     however many there are.
     """
     numbered = ordinal(df, by=[year], order=[F.col(c) for c in order], name="id")
-    sizes = numbered.groupBy(year).agg(F.max("id").alias("_last"))
+    # One row per year, as many as there are output folders.
+    sizes = F.broadcast(numbered.groupBy(year).agg(F.max("id").alias("_last")))
     line = F.concat(
         F.when(F.col("id") == 1, F.lit('{"type":"FeatureCollection","features":[')).otherwise(F.lit("")),
         feature(geometry, ["id", *properties]),
