@@ -38,7 +38,10 @@ def step_bin(value: Column, breaks: Sequence[float]) -> Column:
 
 def pick(index: Column, choices: Sequence[str]) -> Column:
     """The choice with this zero-based index; null for a null index."""
-    return F.element_at(F.array(*[F.lit(c) for c in choices]), index + 1)
+    chosen = F.when(index == 0, F.lit(choices[0]))
+    for position, choice in enumerate(choices[1:], start=1):
+        chosen = chosen.when(index == position, F.lit(choice))
+    return chosen
 
 
 def _number(value: float) -> str:

@@ -43,18 +43,18 @@ def comma_tenths(value: Column) -> Column:
 
 def plain_number(value: Column, digits: int) -> Column:
     """Rounded number without trailing zeros and without an exponent."""
-    text = F.format_string(f"%.{digits}f", F.bround(value, digits))
+    text = F.when(value.isNotNull(), F.format_string(f"%.{digits}f", F.bround(value, digits)))
     return F.regexp_replace(text, r"\.?0+$", "") if digits > 0 else text
 
 
 def percent_text(share: Column, digits: int = 1) -> Column:
     """`0.125` as `12.5%`, trailing zeros dropped. Null in, null out."""
-    return F.when(share.isNotNull(), F.concat(plain_number(share * 100, digits), F.lit("%")))
+    return F.concat(plain_number(share * 100, digits), F.lit("%"))
 
 
 def percent_fixed(share: Column) -> Column:
-    """`0.125` as `12.5%`, always with one decimal."""
-    return F.when(share.isNotNull(), F.format_string("%.1f%%", share * 100))
+    """`0.125` as `12.5%`, always with one decimal; an exact tie goes to the even digit."""
+    return F.concat(F.replace(F.format_number(share * 100, 1), F.lit(","), F.lit("")), F.lit("%"))
 
 
 def caption(name: Column, value: Column) -> Column:

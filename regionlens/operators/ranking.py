@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from regionlens.functions.text import caption
 from regionlens.session import materialize
 
+# Largest top list that is merged in one task, and largest checked side that is broadcast.
 PAGE_LIMIT = 100_000
+BROADCAST_ROWS = 100_000
 
 
 def descending(column: str) -> Column:
@@ -23,27 +25,47 @@ def ascending(column: str) -> Column:
     return F.col(column).asc_nulls_last()
 
 
-def ordinal(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name: str = "ordinal") -> DataFrame:
+def ordinal(
+    df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name: str = "ordinal", size: str | None = None
+) -> DataFrame:
     """Number the rows 1..n inside each `by` group, under a total order, for groups of any size.
 
-    A plain `row_number` puts a whole group into one task. Here the rows are range-partitioned by
-    group and order, so a large group spans many slices. Each slice is numbered on its own and
-    moved up by the number of rows in the slices before it. The slices are written once, because
-    the numbers and the offsets have to see the same boundaries.
+    A plain `row_number` puts a whole group into one task. Here the rows are range-partitioned and
+    sorted by group and order, so a large group spans many slices, and every row gets its place in
+    its slice. The slices are written once, as places and offsets have to see the same boundaries.
+    What is joined back is one row per slice and group in it: where that slice starts and where the
+    group starts. `size` names a column for the number of rows in the group.
     """
-    sliced = materialize(
-        df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_slice", F.spark_partition_id()), "ordinal"
+    place = F.monotonically_increasing_id()
+    keys = [*[F.col(c) for c in by], *order]
+    sliced = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", place), "ordinal")
+    # The id holds the slice above bit 33 and the place in the slice below. A struct key lets a null
+    # group match itself.
+    group, slice_of, inside = F.struct(F.lit(0).alias("_"), *by), F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit(2**33 - 1))
+    parts = sliced.groupBy(group.alias("_group"), slice_of.alias("_slice")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(inside).alias("_from")
+    )
+    slices = parts.groupBy("_slice").agg(F.sum("_rows").alias("_slice_rows"))
+    # One row per slice: as many as the exchange has partitions.
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slices.select("_slice", F.coalesce(F.sum("_slice_rows").over(before), F.lit(0)).alias("_start"))
+    placed = parts.join(F.broadcast(starts), "_slice")
+    whole = Window.partitionBy("_group")
+    offsets = placed.select(
+        "_group",
+        "_slice",
+        (F.col("_start") - F.min(F.col("_start") + F.col("_from")).over(whole) + 1).alias("_shift"),
+        F.sum("_rows").over(whole).alias("_size"),
     )
-    # One struct key holds the group, so that a null group matches itself and the window's
-    # partitioning serves the join as well.
-    group = F.struct(F.lit(0).alias("_"), *by).alias("_group")
-    sizes = sliced.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_group", "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_group", "_slice").orderBy(*order)
-    numbered = sliced.withColumn("_group", group).withColumn("_inside", F.row_number().over(inside))
-    joined = numbered.join(offsets, ["_group", "_slice"])
-    return joined.select(*df.columns, (F.col("_inside") + F.col("_offset")).alias(name))
+    if by:
+        offsets = materialize(offsets, "offsets")
+        if offsets.count() <= BROADCAST_ROWS:
+            offsets = F.broadcast(offsets)
+    else:
+        offsets = F.broadcast(offsets)
+    numbered = sliced.withColumns({"_group": group, "_slice": slice_of}).join(offsets, ["_group", "_slice"])
+    extra = [F.col("_size").alias(size)] if size else []
+    return numbered.select(*df.columns, (inside + F.col("_shift")).alias(name), *extra)
 
 
 def rank_in_domain(df: DataFrame, order: Sequence[Column], by: Sequence[str], name: str) -> DataFrame:

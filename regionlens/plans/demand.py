@@ -33,7 +33,7 @@ from regionlens.plans.facts import (
     Tables,
     demand_by_occupation,
     demand_by_order,
-    demand_orders,
+    residents,
     occupations,
     supply_by_unit,
     units,
@@ -185,9 +185,9 @@ def fact_zone_year_code(t: Tables) -> DataFrame:
 
 
 def county_years(t: Tables) -> DataFrame:
-    """County populations: one row per county and year with an order."""
-    orders = demand_orders(t, "zone_code", "zone", "segment", "population")
-    return orders.select("county", "zone_code", "zone", "segment", "year", "population").distinct()
+    """County populations: one row per county and year with an order, made distinct before the join."""
+    active = t.read("orders").selectExpr("o_custkey AS county", "year(o_orderdate) AS year").distinct()
+    return active.join(residents(t, "zone_code", "zone", "segment", "population"), "county")
 
 
 COUNTY_YEAR_SQL = DEMAND_SQL + """,

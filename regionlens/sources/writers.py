@@ -80,15 +80,13 @@ def write_features_by_year(
     brackets of the collection. The part files of a year, read in name order, are one valid document
     however many there are.
     """
-    numbered = ordinal(df, by=[year], order=[F.col(c) for c in order], name="id")
-    # One row per year, as many as there are output folders.
-    sizes = F.broadcast(numbered.groupBy(year).agg(F.max("id").alias("_last")))
+    numbered = ordinal(df, by=[year], order=[F.col(c) for c in order], name="id", size="_last")
     line = F.concat(
         F.when(F.col("id") == 1, F.lit('{"type":"FeatureCollection","features":[')).otherwise(F.lit("")),
         feature(geometry, ["id", *properties]),
         F.when(F.col("id") == F.col("_last"), F.lit("]}")).otherwise(F.lit(",")),
     )
-    rows = numbered.join(sizes, year).select(F.col(year).alias("file_year"), "id", line.alias("value"))
+    rows = numbered.select(F.col(year).alias("file_year"), "id", line.alias("value"))
     spread = rows.repartitionByRange("file_year", "id").sortWithinPartitions("file_year", "id")
     spread.select("value", "file_year").write.partitionBy("file_year").text(path)
 
