@@ -24,19 +24,23 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
+    """The folder all executors can reach, as the cluster names it in `spark.checkpoint.dir`.
 
-    Only a local master may fall back to a folder of its own, which is then kept for the session.
+    Only a local master may fall back to a folder of its own, one per application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="regionlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="regionlens-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
