@@ -67,7 +67,7 @@ def test_named_table(spark):
 
 
 def test_display_names_and_dated_export(spark, tmp_path):
-    frame = spark.createDataFrame([("a", 0.1234, 7)], "entity string, focus_share double, n int")
+    frame = spark.createDataFrame([("a", 0.1234, 7)], "entity string, focus_share double, n int").coalesce(1)
     shown = writers.display_table(frame, {"entity": "Institution", "focus_share": "Focus%"}, ["focus_share"])
     path = writers.export_csv(shown, str(tmp_path), date(2024, 5, 1))
     assert path.endswith("/date=2024-05-01")
