@@ -12,14 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionlens.functions.codes import state_table
-from regionlens.functions.numbers import ratio, to_int
+from regionlens.functions.numbers import ratio, sum_or_zero, to_int
 from regionlens.functions.text import drop_suffix, strip_space
 from regionlens.operators.aggregates import (
+    lead_zones,
     map_entities,
+    national_demand,
+    national_supply,
     one_hot,
     roll_up_postings,
     snake_names,
+    summarise_entities,
+    summarise_zones,
+    with_focus,
     yearly_demand,
+    yearly_supply,
     zone_population,
 )
 from regionlens.operators.joins import keep_matches, look_up
@@ -78,9 +85,16 @@ def supply_fact(completions: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def map_supply(supply: DataFrame) -> DataFrame:
-    """Institution and year for the map: place, totals, focus share."""
-    key = F.struct("code", "award_level", "total", "focus", "zone", "latitude", "longitude")
-    return map_entities(supply, key).orderBy(F.asc_nulls_last("year"), F.asc_nulls_last("entity"))
+    """Institution and year for the map: place, totals, focus share.
+
+    Summed first with the zone among the keys, as a text among the values would make Spark sort the
+    whole fact; the first known place is then taken from a row per institution, year and zone.
+    """
+    place = [F.max(c).alias(c) for c in ("latitude", "longitude")]
+    sums = supply.groupBy("year", "unitid", "entity", "zone").agg(
+        sum_or_zero(F.col("total")).alias("total"), sum_or_zero(F.col("focus")).alias("focus"), *place
+    )
+    return map_entities(sums, F.struct("zone")).orderBy(F.asc_nulls_last("year"), F.asc_nulls_last("entity"))
 
 
 def occupation_flags(occupations: DataFrame, industries: Sequence[str]) -> DataFrame:
@@ -112,10 +126,7 @@ def map_zones(demand: DataFrame, labels: DataFrame, population: DataFrame, max_y
     placed = look_up(county_population(population), labels, "county").where(F.col("zone_code").isNotNull())
     residents = zone_population(placed, max_year, ["zone_code"])
     unique = largest_zone_per_label(placed.where(F.col("year") <= max_year))
-    facts = demand.where(F.col("year") <= max_year).withColumn(
-        "focus", F.when(F.col("focus_flag") == 1, F.col("total")).otherwise(0)
-    )
-    yearly = yearly_demand(facts).drop("population")
+    yearly = yearly_postings(demand.where(F.col("year") <= max_year)).drop("population")
     joined = look_up(keep_matches(yearly, unique, "zone"), residents, ["zone_code", "year"])
     return joined.withColumns(
         {
@@ -123,3 +134,59 @@ def map_zones(demand: DataFrame, labels: DataFrame, population: DataFrame, max_y
             "per_1000": ratio(F.col("total"), F.col("population"), 1000),
         }
     )
+
+
+# --- marts from the two facts -------------------------------------------------------------------
+
+
+def yearly_awards(supply: DataFrame) -> DataFrame:
+    """Institution and year: sums, enrolment, flags and zone, which are constant inside a year.
+
+    The largest of a constant is the constant, and the zone is a key of the first sum, so that the
+    pass over the fact stays in hash tables.
+    """
+    constants = ("enrolled", "rural", "tribal")
+    sums = yearly_supply(supply, ["entity", "zone"], [F.max(c).alias(c) for c in constants])
+    return yearly_supply(sums, ["entity"], [F.max(c).alias(c) for c in constants] + [F.min("zone").alias("zone")])
+
+
+def national_awards(supply: DataFrame) -> DataFrame:
+    """The published national table of awards: mean focus awards and focus share per year."""
+    return national_supply(yearly_awards(supply)).select("year", "mean_focus", "focus_share")
+
+
+def institution_table(supply: DataFrame) -> DataFrame:
+    """Every institution with its zone, flags and means over years."""
+    return summarise_entities(yearly_awards(supply), ["zone", "rural", "tribal"])
+
+
+def yearly_postings(demand: DataFrame) -> DataFrame:
+    """Zone and year: postings, focus postings and the mean of the occupations' populations."""
+    return yearly_demand(with_focus(demand))
+
+
+def national_postings(demand: DataFrame, numerator: str = "focus") -> DataFrame:
+    """The published national table of postings."""
+    return national_demand(yearly_postings(demand), numerator=numerator)
+
+
+def zone_year_table(demand: DataFrame) -> DataFrame:
+    """Zone and year with focus share and focus postings per 1,000 residents."""
+    yearly = yearly_postings(demand)
+    return yearly.withColumns(
+        {
+            "focus_share": ratio(F.col("focus"), F.col("total")),
+            "per_1000": ratio(F.col("focus"), F.col("population"), 1000),
+        }
+    )
+
+
+def zone_table(demand: DataFrame) -> DataFrame:
+    """Every zone with its means over years."""
+    return summarise_zones(yearly_postings(demand))
+
+
+def zone_leaders(demand: DataFrame, partial_year: int | None = None) -> DataFrame:
+    """Mean focus postings, share and rate of every zone, without a year that is not complete."""
+    complete = demand if partial_year is None else demand.where(F.col("year") != partial_year)
+    return lead_zones(yearly_postings(complete))

@@ -86,19 +86,6 @@ def zone_trend(t: Tables, zone: str | None = None) -> DataFrame:
     return rounded(trend if zone is None else trend.where(F.col("zone") == zone))
 
 
-# The metric names a caller can choose; anything else means the first.
-METRICS = {"focus": "focus", "percent": "focus_percent", "per_1000": "per_1000"}
-
-
-def metric_column(metric: str | None) -> str:
-    return METRICS.get(metric or "", "focus")
-
-
-def trend_metric(trend: DataFrame, metric: str | None) -> DataFrame:
-    """The chosen metric of a trend as `value`."""
-    return trend.withColumn("value", F.col(metric_column(metric)).cast("double"))
-
-
 @query(
     "national_avg_demand",
     f"""WITH {ZONE_YEAR_SQL}

@@ -109,9 +109,13 @@ def programs(t: Tables) -> DataFrame:
     return t.read("part").selectExpr("p_partkey AS part_id", "p_brand AS code", "p_name AS title")
 
 
-def supply_by_unit(t: Tables, *extra: Column, reads: Sequence[str] = (), when: Column | None = None) -> DataFrame:
-    """Unit and year, summed before any join."""
+def supply_by_unit(
+    t: Tables, *extra: Column, reads: Sequence[str] = (), when: Column | None = None, only: DataFrame | None = None
+) -> DataFrame:
+    """Unit and year, summed before any join; `only` keeps the lines of some units."""
     lines = supply_lines(t, "unitid", "year", "total", "focus", *reads, when=when)
+    if only is not None:
+        lines = lines.join(only.select("unitid"), "unitid", "left_semi")
     return lines.groupBy("unitid", "year").agg(F.sum("total").alias("total"), F.sum("focus").alias("focus"), *extra)
 
 

@@ -59,15 +59,17 @@ def entity_years(t: Tables, enrolment: bool = False, attributes: tuple[str, ...]
 @query(
     "entity_trend",
     f"""WITH {ENTITY_YEAR_SQL}
-    SELECT entity, year, total, focus, round(CASE WHEN total > 0 THEN CAST(focus AS DOUBLE) / total * 100 END, 6) AS focus_percent
-    FROM ey""",
+    SELECT entity, year, CAST(sum(total) AS BIGINT) AS total, CAST(sum(focus) AS BIGINT) AS focus, CAST(sum(enrolled) AS BIGINT) AS enrolled,
+           round(CAST(sum(focus) AS DOUBLE) / sum(total) * 100, 6) AS focus_percent
+    FROM s GROUP BY entity, year""",
 )
 def entity_trend(t: Tables, entity: str | None = None) -> DataFrame:
-    """Yearly series of every entity, or of one."""
-    trend = supply_rates(entity_years(t))
-    if entity is not None:
-        trend = trend.where(F.col("entity") == entity)
-    return trend.select("entity", "year", "total", "focus", F.round("focus_percent", 6).alias("focus_percent"))
+    """Yearly series of every entity. For one entity its units are found first and their lines alone summed."""
+    names = units(t, "entity")
+    only = None if entity is None else names.where(F.col("entity") == entity)
+    sums = supply_by_unit(t, F.sum("enrolled").alias("enrolled"), reads=["enrolled"], only=only)
+    yearly = yearly_supply(sums.join(names if only is None else only, "unitid"), extra=[sum_or_zero(F.col("enrolled")).alias("enrolled")])
+    return rounded(supply_rates(yearly))
 
 
 @query(
@@ -180,11 +182,10 @@ def search_entity_regex(t: Tables, term: str = "SUPPLIER#0+[37]$", year: int = 1
     UNION ALL
     SELECT entity, year, 'national', round(value, 6) FROM span JOIN nat ON year BETWEEN lo AND hi""",
 )
-def trend_vs_national(t: Tables, entity: str | None = None) -> DataFrame:
+def trend_vs_national(t: Tables) -> DataFrame:
     """Both series from one pass over the fact: the yearly sums are written once."""
     yearly = materialize(entity_years(t), "entity-years")
-    own = yearly if entity is None else yearly.where(F.col("entity") == entity)
-    return rounded(against_national(own, national_supply(yearly), "entity", "focus", "mean_focus"))
+    return rounded(against_national(yearly, national_supply(yearly), "entity", "focus", "mean_focus"))
 
 
 def program_mix(t: Tables, year: int | str | None = None) -> DataFrame:

@@ -29,7 +29,10 @@ def test_entry(spark):
 def test_query_equals_sql(spark, folder, oracle, name):
     import pandas as pd
 
-    mine = queries()[name](spark, folder).toArrow()
+    result = queries()[name](spark, folder)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert not [word for word in ("CartesianProduct", "NestedLoop", "Python") if word in plan]
+    mine = result.toArrow()
     theirs = oracle.sql(oracle_sql()[name]).to_arrow_table()
     assert set(mine.column_names) == set(theirs.column_names)
     left = canonical(mine.to_pandas(types_mapper=pd.ArrowDtype))
