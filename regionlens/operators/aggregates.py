@@ -183,9 +183,9 @@ def units_with_many_names(df: DataFrame, unit: str, name: str) -> DataFrame:
 
 
 def one_hot(df: DataFrame, ids: Sequence[str], category: str, values: Sequence[str]) -> DataFrame:
-    """A 0/1 column per listed category. The list is given, so no extra job looks for it."""
-    present = F.max(F.lit(1))
-    return df.groupBy(*ids).pivot(category, list(values)).agg(present).fillna(0, subset=list(values))
+    """A 0/1 column per listed category, in one aggregation. Categories outside the list are ignored."""
+    flags = [F.coalesce(F.max((F.col(category) == v).cast("int")), F.lit(0)).alias(v) for v in values]
+    return df.groupBy(*ids).agg(*flags)
 
 
 def snake_names(df: DataFrame) -> DataFrame:

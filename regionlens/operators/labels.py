@@ -87,33 +87,27 @@ def dedupe_labels(labels: DataFrame, zone: str = "zone_code", name: str = "zone"
     return counted.select(zone, F.when(F.col("_uses") > 1, tagged).otherwise(F.col(name)).alias(name))
 
 
-def _name_counts(df: DataFrame, unit: str, name: str, when: str) -> DataFrame:
-    return df.groupBy(unit, when, name).agg(F.count(F.lit(1)).alias("_n"))
-
-
-def _latest_of(counts: DataFrame, unit: str, name: str, when: str) -> DataFrame:
-    key = F.struct((-F.col(when)).alias("y"), (-F.col("_n")).alias("n"), F.col(name).isNull().alias("u"), F.col(name).alias("v"))
-    known = counts.where(F.col(when).isNotNull())
-    return known.groupBy(unit).agg(F.min(key)["v"].alias(name))
-
-
-def latest_names(df: DataFrame, unit: str, name: str, when: str) -> DataFrame:
+def latest_names(df: DataFrame, unit: str, name: str, when: str, rows: str | None = None) -> DataFrame:
     """Per unit, its most frequent name in its latest year; ties by name.
 
     One aggregate over counts: the smallest of (-year, -count, name), so no unit is sorted in a task.
+    `rows` names a column for the number of rows of the unit.
     """
-    return _latest_of(_name_counts(df, unit, name, when), unit, name, when)
+    counts = df.groupBy(unit, when, name).agg(F.count(F.lit(1)).alias("_n"))
+    key = F.struct((-F.col(when)).alias("y"), (-F.col("_n")).alias("n"), F.col(name).isNull().alias("u"), F.col(name).alias("v"))
+    extra = [F.sum("_n").alias(rows)] if rows else []
+    return counts.groupBy(unit).agg(F.min(F.when(F.col(when).isNotNull(), key))["v"].alias(name), *extra)
 
 
 def use_latest_name(df: DataFrame, unit: str, name: str, when: str) -> DataFrame:
     """Every row under the latest name of its unit. Units with very many rows are spread out.
 
-    The counts are written once: the names and the hot units both come from them.
+    The names are written once, one row per unit: the lookup and the hot units both come from them.
     """
-    counts = materialize(_name_counts(df, unit, name, when), "name-counts")
-    canonical = _latest_of(counts, unit, name, when).withColumnRenamed(name, "_latest")
+    names = materialize(latest_names(df, unit, name, when, "_rows"), "latest-names")
+    canonical = names.select(unit, F.col(name).alias("_latest"))
     others = [c for c in df.columns if c != unit]
-    renamed = look_up_spread(df, canonical, unit, hot_keys(counts, unit, "_n"), others)
+    renamed = look_up_spread(df, canonical, unit, hot_keys(names, unit, "_rows"), others)
     return renamed.select(*[F.col("_latest").alias(name) if c == name else F.col(c) for c in df.columns])
 
 

@@ -13,13 +13,12 @@ SPREAD = 64
 
 
 def hot_keys(counts: DataFrame, key: str, rows: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys with more than `share` of all rows, from a table of counts per key.
+    """Keys with more than `share` of all rows, from a table with one count per key.
 
     At most `1 / share` keys can qualify, which bounds what is broadcast below.
     """
-    per_key = counts.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(rows).alias("_rows"))
     total = counts.select(F.sum(rows)).scalar()
-    return per_key.where(F.col("_rows") > total * share).select(key)
+    return counts.where(F.col(key).isNotNull() & (F.col(rows) > total * share)).select(key)
 
 
 def look_up_spread(

@@ -36,6 +36,10 @@ def test_facts_are_read_once_and_hashed(shuffled, folder, name):
     assert "SortAggregate" not in text and "SinglePartition" not in text
 
 
+def test_one_hot_is_one_shuffle(shuffled, folder):
+    assert plan(shuffled, folder, "pivot_onehot").count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("name", ["leaders_zone_posts", "leaders_entity_total", "paged_table", "search_entity_regex"])
 def test_top_lists_are_merged_not_sorted(shuffled, folder, name):
     assert "TakeOrderedAndProject" in plan(shuffled, folder, name)
