@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from regionlens.functions.text import caption
 from regionlens.session import materialize
 
-# Largest top list that is merged in one task, and largest checked side that is broadcast.
-PAGE_LIMIT = 100_000
+# Longest top list that is merged in one task (every partition sends that many rows), and largest
+# counted side that is broadcast.
+PAGE_LIMIT = 1_000
 BROADCAST_ROWS = 100_000
 
 
@@ -154,7 +155,12 @@ def top_items_per_group(
 def leaderboard(
     df: DataFrame, name: str, metric: str, text: Column, n: int | None = 150, label: Column | None = None
 ) -> DataFrame:
-    """Top `n` by a metric, ties by name, each with the caption `label — value`."""
+    """Top `n` by a metric, ties by name, each with the caption `label — value`.
+
+    The order uses the metric to nine digits, so that two equal means do not swap places because
+    their parts were added in another order.
+    """
     shown = F.col(name) if label is None else label
-    ranked = top_rows(df.select(name, metric), [descending(metric), ascending(name)], n)
+    order = [F.round(metric, 9).desc_nulls_last(), ascending(name)]
+    ranked = top_rows(df.select(name, metric), order, n)
     return ranked.withColumn("caption", caption(shown, text))

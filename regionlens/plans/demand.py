@@ -123,7 +123,11 @@ m AS (
 )
 def leaders_zone(t: Tables) -> DataFrame:
     """Mean focus postings, mean share and mean rate of every zone over the complete years."""
-    return rounded(lead_zones(zone_years(t, complete_years())))
+    return rounded(zone_means(t))
+
+
+def zone_means(t: Tables) -> DataFrame:
+    return lead_zones(zone_years(t, complete_years()))
 
 
 def _leaders_sql(metric: str, text: str) -> str:
@@ -134,8 +138,7 @@ def _leaders_sql(metric: str, text: str) -> str:
 
 
 def zone_leaderboard(t: Tables, metric: str, text: Column) -> DataFrame:
-    # Rounded before ranking, so that two means that differ by summation order only do not swap.
-    return leaderboard(leaders_zone(t), "zone", metric, text, LEADERS, pretty_zone(F.col("zone")))
+    return rounded(leaderboard(zone_means(t), "zone", metric, text, LEADERS, pretty_zone(F.col("zone"))))
 
 
 @query("leaders_zone_posts", _leaders_sql("mean_focus", "format('{:,}', CAST(round_even(mean_focus, 0) AS BIGINT))"))

@@ -137,3 +137,16 @@ def test_materialize_keeps_rows_and_schema(spark):
     frame = spark.createDataFrame([(1, None), (2, "b")], "k int, v string")
     copy = session.materialize(frame, "copy")
     assert copy.schema == frame.schema and {tuple(r) for r in copy.collect()} == {(1, None), (2, "b")}
+
+
+def test_a_hot_partition_value_becomes_several_files(spark, tmp_path):
+    path = str(tmp_path / "hot")
+    rows = spark.range(0, 200_000, numPartitions=8)
+    frame = rows.select("id", F.when(F.col("id") % 3 < 2, 2020).otherwise(2021).alias("year"), F.rand(1).alias("x"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200KB")
+    try:
+        writers.write_partitions(frame, path, "year", sort=["id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list(Path(path).glob("year=2020/*.parquet"))) > 3
+    assert spark.read.parquet(path).count() == 200_000
