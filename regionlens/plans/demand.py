@@ -38,8 +38,7 @@ from regionlens.plans.facts import (
     supply_by_unit,
     units,
 )
-from regionlens.plans.registry import query
-from regionlens.plans.supply import rounded
+from regionlens.plans.registry import query, rounded
 from regionlens.sources.readers import before_year, outside_year, year_choice
 
 PARTIAL_YEAR = 2001

@@ -32,8 +32,8 @@ from regionlens.plans.facts import (
     supply_by_unit,
     supply_lines,
 )
-from regionlens.plans.registry import ORACLES, query
-from regionlens.plans.supply import AWARD_SQL, FAMILY_SQL, entity_table, mapped, rounded
+from regionlens.plans.registry import ORACLES, query, rounded
+from regionlens.plans.supply import AWARD_SQL, FAMILY_SQL, entity_table, mapped
 from regionlens.session import scratch_path
 from regionlens.sources.readers import in_year, named_table, read_csv, read_partitions
 from regionlens.sources.writers import (

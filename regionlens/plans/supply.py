@@ -20,15 +20,14 @@ from regionlens.operators.aggregates import (
 from regionlens.operators.joins import look_up
 from regionlens.operators.ranking import (
     ascending,
+    descending,
     group_total,
     leaderboard,
     order_by_summary,
     ordinal,
     page,
-    descending,
     rank_groups_and_items,
     share_of_group,
-    top_rows,
 )
 from regionlens.plans.facts import (
     ENTITY_YEAR_SQL,
@@ -40,10 +39,9 @@ from regionlens.plans.facts import (
     supply_lines,
     units,
 )
-from regionlens.plans.registry import query
+from regionlens.plans.registry import query, rounded
 from regionlens.session import materialize, scratch_path
-from regionlens.sources.readers import in_year, read_or_build, year_choice
-from regionlens.sources.schemas import NATIONAL_SUPPLY
+from regionlens.sources.readers import in_year, read_or_build, resolve_column, year_choice
 
 LEADERS = 150
 
@@ -83,12 +81,6 @@ def national_avg_supply(t: Tables) -> DataFrame:
     return rounded(national_supply(entity_years(t, enrolment=True)))
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """All doubles of a result rounded alike, so that summation order does not show."""
-    doubles = [name for name, kind in df.dtypes if kind == "double"]
-    return df.withColumns({c: F.round(c, digits) for c in doubles}) if doubles else df
-
-
 @query(
     "entity_summary",
     f"""WITH {ENTITY_YEAR_SQL}
@@ -355,8 +347,6 @@ def paged_table(t: Tables, number: int = 2) -> DataFrame:
 )
 def resolve_column_metric(t: Tables) -> DataFrame:
     """The share column of a national table, found under any of its known names."""
-    from regionlens.sources.readers import resolve_column
-
     table = national_supply(entity_years(t)).withColumnsRenamed({"focus_share": "Pct_Focus", "mean_focus": "Mean_Focus"})
     column = resolve_column(table, ["focus_pct", "pct_focus", "focus_percentage"])
     if column is None:

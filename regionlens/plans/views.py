@@ -7,12 +7,14 @@ entity or zone within a year (`write_partitions(..., sort=[...])`) and it skips
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionlens.functions.codes import classify_award, classify_occupation, classify_program, label_codes
-from regionlens.functions.numbers import half_even, ratio_or_zero, sum_or_zero
-from regionlens.functions.text import comma, comma_tenths, html_popup, lines, percent_fixed, percent_text, pretty_zone, yes_no
+from regionlens.functions.numbers import half_even, is_whole, ratio_or_zero, sum_or_zero
+from regionlens.functions.text import comma, comma_tenths, html_popup, lines, percent_fixed, percent_text, plain_number, pretty_zone, yes_no
 from regionlens.operators.aggregates import against_national, demand_rates, mix, percent_scaled, supply_rates, with_focus, yearly_demand, yearly_supply
 from regionlens.operators.ranking import (
     ascending,
@@ -188,5 +190,25 @@ def zone_display(table: DataFrame) -> DataFrame:
     )
 
 
+def shown_numbers(table: DataFrame, percent: Sequence[str] = ()) -> DataFrame:
+    """Numeric columns of any table as text: shares as percent, whole columns with separators, others to two digits.
+
+    Whether a column is whole, or a share that needs scaling, is decided over the whole column; the
+    answers are scalars of one extra pass.
+    """
+    kinds = ("int", "bigint", "float", "double", "decimal")
+    numeric = [name for name, kind in table.dtypes if kind.startswith(kinds)]
+    shares = [c for c in numeric if c in percent]
+    for column in shares:
+        table = percent_scaled(table, column, column)
+    others = [c for c in numeric if c not in shares]
+    facts = table.agg(*[is_whole(F.col(c)).alias(c) for c in others]) if others else None
+    texts = {c: F.concat(plain_number(F.col(c), 2), F.lit("%")) for c in shares}
+    for column in others:
+        whole = facts.select(column).scalar()
+        texts[column] = F.when(whole, comma(F.col(column))).otherwise(plain_number(F.col(column).cast("double"), 2))
+    return table.withColumns(texts)
+
+
 def trend_title(zone: Column) -> Column:
     return F.concat(F.lit("Focus Job Postings — "), pretty_zone(zone))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,17 +53,21 @@ def resolve_column(df: DataFrame, candidates: Sequence[str]) -> str | None:
     return next((present[c.lower()] for c in candidates if c.lower() in present), None)
 
 
+def _start_of(year: int) -> Column:
+    return F.lit(f"{year:04d}-01-01").cast("timestamp_ntz")
+
+
 def in_year(moment: Column, year: int) -> Column:
     """Is the moment in this year? Written as a range so that it can be pushed into the scan."""
-    return (moment >= F.lit(datetime(year, 1, 1))) & (moment < F.lit(datetime(year + 1, 1, 1)))
+    return (moment >= _start_of(year)) & (moment < _start_of(year + 1))
 
 
 def before_year(moment: Column, year: int) -> Column:
-    return moment < F.lit(datetime(year, 1, 1))
+    return moment < _start_of(year)
 
 
 def outside_year(moment: Column, year: int) -> Column:
-    return (moment < F.lit(datetime(year, 1, 1))) | (moment >= F.lit(datetime(year + 1, 1, 1)))
+    return (moment < _start_of(year)) | (moment >= _start_of(year + 1))
 
 
 def year_choice(choice: str | int | None, column: str = "year", everything: str = "All Years") -> Column:

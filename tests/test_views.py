@@ -110,3 +110,11 @@ def test_filter_of_one_entity_equals_the_whole(spark, folder):
     name = "Supplier#000000003"
     one = {tuple(r) for r in entity_trend(tables, name).collect()}
     assert one and one == {tuple(r) for r in entity_trend(tables).where(F.col("entity") == name).collect()}
+
+
+def test_numbers_are_shown_by_column(spark):
+    rows = [("a", 1234.0, 0.5, 1.256, 7), ("b", 2.0, 0.125, 3.0, None)]
+    frame = spark.createDataFrame(rows, "zone string, whole double, share double, mixed double, n int")
+    got = {r.zone: (r.whole, r.share, r.mixed, r.n) for r in views.shown_numbers(frame, ["share"]).collect()}
+    assert got == {"a": ("1,234", "50%", "1.26", "7"), "b": ("2", "12.5%", "3", None)}
+    assert views.trend_title(F.lit("x")) is not None
