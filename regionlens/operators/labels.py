@@ -25,20 +25,15 @@ def dominant_city_label(
     can be in the label are kept before anything is collected; unknown populations do not count.
     """
     known = cities.where(F.col(population).isNotNull() & F.col(zone).isNotNull())
+    row = F.struct((-F.col(population)).alias("p"), F.col(city).alias("c"))
     largest = known.groupBy(zone).agg(
-        F.max(population).alias("_largest"),
-        F.min(F.struct((-F.col(population)).alias("p"), F.col(city).alias("c")))["c"].alias("_first"),
-    )
-    near = (
-        known.join(largest, zone)
-        .where(F.when(F.col("_largest") > 0, F.col(population) >= F.col("_largest") * share).otherwise(F.col(city) == F.col("_first")))
-        .select(
-            zone,
-            "_first",
-            (F.col("_largest") > 0).alias("_positive"),
-            F.struct((-F.col(population)).alias("p"), F.col(city).alias("c")).alias("_row"),
-        )
+        F.max(population).alias("_largest"), F.min(row)["c"].alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
+    compared = look_up_spread(known, largest.drop("_rows"), zone, hot_keys(largest, zone, "_rows"), [city, population])
+    positive = F.col("_largest") > 0
+    near = compared.where(
+        F.when(positive, F.col(population) >= F.col("_largest") * share).otherwise(F.col(city) == F.col("_first"))
+    ).select(zone, "_first", positive.alias("_positive"), row.alias("_row"))
     together = near.groupBy(zone, "_first", "_positive").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
     joined = F.array_join(F.transform("_rows", lambda r: r["c"]), " & ")
     return together.select(zone, F.when(F.col("_positive"), joined).otherwise(F.col("_first")).alias(name))
