@@ -5,7 +5,8 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from regionlens.plans.catalog import ORACLES, QUERIES
 from tools.compare import canonical, oracle_connection
 
 
@@ -15,8 +16,8 @@ def oracle(folder) -> duckdb.DuckDBPyConnection:
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
-    assert len(queries()) == 72
+    assert set(QUERIES) == set(ORACLES)
+    assert len(QUERIES) == 72
 
 
 def test_entry(spark):
@@ -25,15 +26,15 @@ def test_entry(spark):
     assert entry(spark).columns == ["zone", "mean_focus", "mean_share", "mean_per_1000"]
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, folder, oracle, name):
     import pandas as pd
 
-    result = queries()[name](spark, folder)
+    result = QUERIES[name](spark, folder)
     plan = result._jdf.queryExecution().executedPlan().toString()
     assert not [word for word in ("CartesianProduct", "NestedLoop", "Python") if word in plan]
     mine = result.toArrow()
-    theirs = oracle.sql(oracle_sql()[name]).to_arrow_table()
+    theirs = oracle.sql(ORACLES[name]).to_arrow_table()
     assert set(mine.column_names) == set(theirs.column_names)
     left = canonical(mine.to_pandas(types_mapper=pd.ArrowDtype))
     right = canonical(theirs.to_pandas(types_mapper=pd.ArrowDtype))
