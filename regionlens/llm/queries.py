@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regionlens.llm import hash_ring, token_counts
+from regionlens.llm import hash_ring, packing, token_counts
 from regionlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,8 @@ def op6_hash_ring(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.add_token_counts(table(spark, folder, "documents"))
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"))
