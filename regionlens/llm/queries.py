@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regionlens.llm import hash_ring, packing, token_counts
+from regionlens.llm import hash_ring, html_content, packing, token_counts
 from regionlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,8 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
+
+
+@query
+def op10_html_content(spark: SparkSession, folder: str) -> DataFrame:
+    return html_content.extract(table(spark, folder, "pages"))
