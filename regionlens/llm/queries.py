@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regionlens.llm import hash_ring, html_content, language_id, packing, token_counts
+from regionlens.llm import hash_ring, html_content, jaccard_join, language_id, packing, token_counts
 from regionlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.predict_languages(table(spark, folder, "documents"))
 
 
+@query
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicate_classes(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op6_hash_ring(spark: SparkSession, folder: str) -> DataFrame:
     return hash_ring.shard_documents(table(spark, folder, "documents"))

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -141,9 +142,9 @@ def add_token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = pa.compute.fill_null(batch.column("text"), "")
+            texts = pc.fill_null(batch.column("text"), "")
             n = pa.array(count_tokens(texts.to_pylist(), file), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.compute.binary_length(texts).cast("int64"), n], ["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.binary_length(texts).cast("int64"), n], ["doc_id", "n_bytes", "n_tokens"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return out.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
@@ -45,7 +46,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column behind each other, and each row's bounds in them; null counts as empty."""
-    column = pa.compute.fill_null(column, "").cast(pa.large_binary())
+    column = pc.fill_null(column, "").cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
     return data, offsets - offsets[0] if len(column) else np.zeros(1, np.int64)
