@@ -52,27 +52,26 @@ def allot(counts: DataFrame, owners: DataFrame, shards: int) -> DataFrame:
     `counts` has (cell, n). Works on one row per cell and folds the overflow clockwise, cell after cell.
     """
     cells = counts.join(owners, "cell").select("cell", F.col("n").cast("long"), "owners")
-    total = cells.agg(F.sum("n").alias("total"))
-    room = F.floor(F.col("total") / shards) + F.when(F.col("owner") < F.col("total") % shards, 1).otherwise(0)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    room = F.lit(total // shards) + F.when(F.col("owner") < total % shards, 1).otherwise(0)
     before = Window.partitionBy("owner").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     own = (
         cells.withColumn("owner", F.col("owners")[0])
-        .join(F.broadcast(total), how="cross")  # one row
         .withColumn("room", room.cast("long"))
         .withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
         .withColumn("kept", F.greatest(F.lit(0).cast("long"), F.least("n", F.col("room") - F.col("ahead"))))
     )
     # one row: the rooms left by shard, and the cells that overflow in ring order
     taken = own.groupBy("owner").agg(F.sum("kept").alias("kept"))
-    shard_ids = F.sequence(F.lit(0), F.lit(shards - 1))
     left = (
-        total.select("total", F.explode(shard_ids).alias("owner"))
+        counts.sparkSession.range(shards)
+        .select(F.col("id").cast("int").alias("owner"))
         .join(F.broadcast(taken), "owner", "left")  # one row a shard
         .groupBy()
         .agg(F.sort_array(F.collect_list(F.struct("owner", (room - F.coalesce("kept", F.lit(0))).cast("long").alias("left")))).alias("l"))
-        .select(F.col("l.left").alias("left"))
+        .select(F.lit(1).alias("one"), F.col("l.left").alias("left"))
     )
-    over = own.where("kept < n").groupBy().agg(F.sort_array(F.collect_list(F.struct("cell", "kept", (F.col("n") - F.col("kept")).alias("more"), "owners"))).alias("cells"))
+    over = own.where("kept < n").groupBy().agg(F.sort_array(F.collect_list(F.struct("cell", "kept", (F.col("n") - F.col("kept")).alias("more"), "owners"))).alias("cells"), F.lit(1).alias("one"))
     part = "struct<cell:int,shard:int,start:bigint,stop:bigint>"
     # state: rooms left, pieces so far. For one cell: walk its owners, at each take what fits.
     walk = f"""
@@ -85,7 +84,7 @@ def allot(counts: DataFrame, owners: DataFrame, shards: int) -> DataFrame:
               'more', w.more - least(w.left[o], w.more))),
             w -> named_struct('left', w.left, 'parts', w.parts)),
           s -> s.parts)"""
-    moved = over.join(F.broadcast(left), how="cross").select(F.inline(F.expr(walk)))  # one row each
+    moved = over.join(left, "one").select(F.inline(F.expr(walk)))  # one row each
     return own.where("kept > 0").select("cell", F.col("owner").alias("shard"), F.lit(0).cast("long").alias("start"), F.col("kept").alias("stop")).union(moved)
 
 
