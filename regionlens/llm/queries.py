@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regionlens.llm import hash_ring, html_content, jaccard_join, language_id, packing, token_counts, toxicity
+from regionlens.llm import hash_ring, html_content, jaccard_join, language_id, packing, suffix_dedup, token_counts, toxicity
 from regionlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 @query
 def op6_hash_ring(spark: SparkSession, folder: str) -> DataFrame:
     return hash_ring.shard_documents(table(spark, folder, "documents"))
