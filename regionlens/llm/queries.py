@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regionlens.llm import hash_ring, html_content, jaccard_join, language_id, packing, suffix_dedup, token_counts, toxicity
+from regionlens.llm import hash_ring, html_content, jaccard_join, language_id, packing, suffix_dedup, templates, token_counts, toxicity
 from regionlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,14 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.add_token_counts(table(spark, folder, "documents"))
 
 
+@query
+def op8_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.contaminated_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op8_template_decontamination"] = templates.SQL
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
