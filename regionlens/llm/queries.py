@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from regionlens.llm import hash_ring, html_content, jaccard_join, language_id, packing, suffix_dedup, templates, token_counts, toxicity
 from regionlens.llm.common import table
 
@@ -64,3 +65,12 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_html_content(spark: SparkSession, folder: str) -> DataFrame:
     return html_content.extract(table(spark, folder, "pages"))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regionlens.llm.common import ship, slices, written
 from regionlens.llm.jaccard_join import count_range, node_of, pack, unpack
@@ -466,3 +467,28 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     rows = keyed(docs, doc_id, text).join(spans, "ident", "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: str = "n_chars", length: int = 50) -> DataFrame:
+    """`docs` with all rows and columns, repeated passages cut from the text and `size`, if there, set to the characters left.
+
+    A character that a cut goes through is dropped. Rows that lose nothing keep their text and size as they are.
+    """
+    found = find_spans(docs, doc_id, text, length).select(F.col("ident").alias("_ident"), F.col("spans").alias("_spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            pairs = zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist())
+            kept = [kept_bytes(t.encode(), s)[0].decode(errors="ignore") if s else t for t, s in pairs]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(kept, pa.string())], [*batch.schema.names[:-2], "_text"])
+
+    ident = F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"), F.lit(5))
+    others = [c for c in docs.columns if c != text]
+    rows = docs.withColumn("_ident", ident).join(found, "_ident", "left")
+    rows = rows.select(*others, F.col("_spans").isNotNull().alias("_cut"), F.col(text).cast("string").alias("_text"), "_spans")
+    schema = T.StructType([*rows.schema.fields[:-2], T.StructField("_text", T.StringType())])
+    rows = rows.mapInArrow(run, schema)
+    if size in others:
+        left = F.length("_text").cast(docs.schema[size].dataType)
+        rows = rows.withColumn(size, F.when(F.col("_cut"), left).otherwise(F.col(size)))
+    return rows.withColumnRenamed("_text", text).select(docs.columns)
