@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from regionlens.llm import hash_ring, html_content, jaccard_join, language_id, packing, suffix_dedup, templates, token_counts, toxicity
+from regionlens.llm import hash_ring, html_content, jaccard_join, language_id, nn_descent, packing, suffix_dedup, templates, token_counts, toxicity
 from regionlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op4_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query
 def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
