@@ -9,10 +9,13 @@ A document is the set of its distinct word shingles. Two sets link when 100 * in
    nodes or more come back. A shingle of one node can't be shared, so no later step carries it.
 3. Rare first: a node orders its shingles by frequency (unshared ones first) and indexes its prefix of
    n - ceil(t n) + 1 shingles. Nodes that link share an n-gram of their prefixes.
-4. Nodes meet in the buckets of prefix n-grams. Length and positional filters cut pairs in the join; every pair is
-   then verified once, behind the suffix filter. First come star rounds: a few hub nodes of a bucket are compared
-   with its other members, which joins near-copies of one text in a linear number of pairs. The last round
-   compares all pairs of a bucket whose nodes are not connected yet, so no link between components is lost.
+4. Nodes meet in the buckets of prefix n-grams. Length, positional and suffix filters cut pairs in the join; every pair
+   left is verified once. The suffix filter bounds how far two sets differ at least: unshared shingles always
+   do, and so does one of every hash class whose sizes are even in one set and odd in the other; the parities of
+   256 classes travel with the n-gram. First come star rounds: a few hub nodes of a bucket, above all those with the
+   fewest shingles of their own, are compared with its other members, which joins near-copies of one text in a linear
+   number of pairs. The last round compares all pairs of a bucket whose nodes are not connected yet, so no link
+   between components is lost.
 
 Components are the result, therefore pairs inside a component need no verification. All joins read written tables by
 plain keys, so the skew join can split a hot bucket, a hub or the copies of a text.
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionlens.llm.common import components, ship, slices, written
-from regionlens.llm.words import shingle_sets
+from regionlens.llm.words import mix, shingle_sets
 
 #: A shingle is heavy if it makes up more than 1 / HEAVY of all shingles: there are at most HEAVY of them.
 HEAVY = 1 << 19
@@ -44,10 +47,11 @@ RANGE = 1_500_000
 #: Documents packed together at most; their places fit 16 bits.
 CHUNK = 8192
 CHUNK_SHINGLES = 4_000_000
-#: Star rounds at most, hubs in each, and the size from which a bucket takes part; all other pairs are left to the last round.
+#: Star rounds at most, and the size from which a bucket takes part; all other pairs are left to the last round.
 STAR_ROUNDS = 4
-HUBS = 4
 LARGE_BUCKET = 24
+#: Columns of 64 parities each.
+PARITY = ("odd0", "odd1", "odd2", "odd3")
 _CODEC = pa.Codec("zstd", compression_level=1)
 
 
@@ -209,14 +213,17 @@ def assembler(percent: int):
         keep = np.flatnonzero(prefix > 0)  # a node whose prefix is all unshared links with nothing
         tokens = [np.sort(keys[bounds[i] : bounds[i + 1]]).tobytes() for i in keep]
         head = [keys[bounds[i] : bounds[i] + prefix[i]].tobytes() for i in keep]
-        columns = [pa.array(nodes[keep]), pa.array(sizes[keep]), pa.array(alone[keep]), pa.array(head, pa.binary()), pa.array(tokens, pa.binary())]
-        return pa.Table.from_arrays(columns, ["node", "n", "alone", "head", "tokens"])
+        odd = [np.packbits(np.bincount((mix(keys[bounds[i] : bounds[i + 1]]) % np.uint64(64 * len(PARITY))).astype(np.int64), minlength=64 * len(PARITY)) & 1).view(np.int64) for i in keep]
+        odd = np.array(odd, np.int64).reshape(-1, len(PARITY))
+        columns = [pa.array(nodes[keep]), pa.array(sizes[keep]), pa.array(alone[keep]), *(pa.array(odd[:, k]) for k in range(len(PARITY))), pa.array(head, pa.binary()), pa.array(tokens, pa.binary())]
+        return pa.Table.from_arrays(columns, ["node", "n", "alone", *PARITY, "head", "tokens"])
 
     return run
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """(token, node, n, at): the prefix n-grams of every node and their places in its order."""
+    """(token, node, n, alone, at, parities): the prefix n-grams of every node and their places in its order."""
+    names = ["node", "n", "alone", *PARITY]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,20 +231,25 @@ def postings(nodes: DataFrame) -> DataFrame:
             if not heads:
                 continue
             many = np.array([len(h) for h in heads])
-            node, n, alone = (np.repeat(np.array(batch.column(c).to_pylist(), np.int64), many) for c in ("node", "n", "alone"))
-            at = alone + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(node), pa.array(n), pa.array(at)], ["token", "node", "n", "at"])
+            own = {c: np.repeat(batch.column(c).to_numpy(), many) for c in names}
+            at = own["alone"] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            columns = [np.concatenate(heads), *own.values(), at]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", *names, "at"])
 
-    return nodes.select("node", "n", "alone", "head").mapInArrow(run, "token long, node long, n long, at long")
+    return nodes.select(*names, "head").mapInArrow(run, ", ".join(f"{c} long" for c in ("token", *names, "at")))
 
 
 def may_link(percent: int):
-    """Length and positional filter for a pair `a`, `b` that shares the n-gram at the places a.at and b.at."""
+    """Length, positional and suffix filter for a pair `a`, `b` that shares the n-gram at the places a.at and b.at."""
     a_n, b_n, a_at, b_at = F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
     length = F.least(a_n, b_n) * 100 >= F.greatest(a_n, b_n) * percent
     # all that follows in the shorter rest, and what both have before
     position = (F.least(a_n - a_at, b_n - b_at) + F.least(a_at, b_at)) * (100 + percent) >= (a_n + b_n) * percent
-    return length & position
+    # how far they differ at least, against how far linked sets may: a.n + b.n - 2 * overlap
+    differ = F.col("a.alone") + F.col("b.alone")
+    for c in PARITY:
+        differ = differ + F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")))
+    return length & position & (differ * (100 + percent) <= (a_n + b_n) * (100 - percent))
 
 
 def ordered_pairs(joined: DataFrame) -> DataFrame:
@@ -245,17 +257,12 @@ def ordered_pairs(joined: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that link: suffix filter, then the intersection."""
+    """The pairs (u, v) that link, by the intersection of their shared shingles."""
 
     def links(n: int, m: int, x: np.ndarray, y: np.ndarray) -> bool:
         need = -(-percent * (n + m) // (100 + percent))
         if min(len(x), len(y)) < need:
             return False
-        # suffix filter: between any pivots the sets differ by the difference of their sizes there at least
-        pivots = x[len(x) * np.arange(1, 16) // 16]
-        apart = np.diff(np.searchsorted(x, pivots), prepend=0, append=len(x)) - np.diff(np.searchsorted(y, pivots), prepend=0, append=len(y))
-        if len(x) + len(y) - int(np.abs(apart).sum()) < 2 * need:
-            return False
         same = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
         return 100 * same >= percent * (n + m - same)
 
@@ -277,18 +284,19 @@ def connect(nodes: DataFrame, percent: int) -> DataFrame:
     posts = postings(nodes)
     shared = posts.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
     posts = written(posts.join(shared, "token"), "postings")
-    links, labels, verified = None, None, None
+    links, labels, verified, quiet = None, None, None, False
     for turn in range(STAR_ROUNDS + 1):
         live = posts.withColumn("comp", F.col("node"))
         if labels is not None:
             live = posts.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        one = F.struct("node", "n", "at", "comp")
-        hubs = [F.min_by(one, F.xxhash64("node", F.lit(HUBS * turn + k))) for k in range(HUBS // 2)]
-        hubs += [F.min_by(one, F.xxhash64("comp", F.lit(HUBS * turn + k))) for k in range(HUBS // 2)]
+        one = F.struct("node", "n", "alone", *PARITY, "at", "comp")
+        seed = F.lit(turn)
+        hubs = [F.min_by(one, F.xxhash64("node", seed)), F.min_by(one, F.struct("alone", F.xxhash64("node", seed)))]
+        hubs += [F.min_by(one, F.struct("alone", F.xxhash64("comp", seed))), F.min_by(one, F.xxhash64("comp", seed))]
         stats = live.groupBy("token").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.array(*hubs).alias("hubs"))
         stats = written(stats.where("low <> high").drop("low", "high"), "buckets")
         live = written(live.join(stats.select("token"), "token", "left_semi"), "live")
-        large = turn < STAR_ROUNDS and not stats.where(F.col("many") >= LARGE_BUCKET).isEmpty()
+        large = turn < STAR_ROUNDS and not quiet and not stats.where(F.col("many") >= LARGE_BUCKET).isEmpty()
         if large:
             b = stats.where(F.col("many") >= LARGE_BUCKET).select("token", F.explode("hubs").alias("hub")).select("token", "hub.*").distinct().alias("b")
             pairs = live.alias("a").join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & may_link(percent))
@@ -303,6 +311,7 @@ def connect(nodes: DataFrame, percent: int) -> DataFrame:
         pairs = written(pairs, "candidates")
         verified = pairs if verified is None else verified.union(pairs)
         found = written(verify(pairs, nodes, percent), "links")
+        quiet = found.isEmpty()
         links = found if links is None else links.union(found)
         labels = written(components(links), "components")
         if not large:
@@ -335,7 +344,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     answer = "chunk long, keys binary, places binary, df binary, nodes binary, sizes binary"
     answers = requests.where("range >= 0").select("range", "chunk", "keys", "places").groupBy("range").applyInArrow(count_range, answer)
     chunks = requests.where("range < 0").select("chunk", "keys", "places", "df", "nodes", "sizes").union(answers)
-    nodes = written(chunks.groupBy("chunk").applyInArrow(assembler(percent), "node long, n long, alone long, head binary, tokens binary"), "node-sets")
+    nodes = written(chunks.groupBy("chunk").applyInArrow(assembler(percent), ", ".join(["node long, n long, alone long", *(f"{c} long" for c in PARITY), "head binary, tokens binary"])), "node-sets")
 
     labels = connect(nodes, percent)
     classes = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
