@@ -57,7 +57,7 @@ _CODEC = pa.Codec("zstd", compression_level=1)
 
 def pack(values: np.ndarray) -> bytes:
     """An array of 16, 32 or 64-bit numbers, byte plane by byte plane, compressed."""
-    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
     return bytes([values.dtype.itemsize]) + len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 

@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionlens.llm.common import ship
+from regionlens.llm.common import ship, written
 from regionlens.llm.words import mix
 
 DIMENSIONS = 1024
 GRAM = 3
 #: Training documents for each language, about; chosen by the hash of their text.
 TRAINING_DOCUMENTS = 3000
+#: Languages up to which their counts are broadcast.
+LANGUAGES = 10_000
 #: Distinct n-gram vectors that a worker keeps before it starts afresh.
 REMEMBERED = 30_000
 #: Documents bundled by one matrix product.
@@ -130,7 +132,8 @@ def learn_prototypes(docs: DataFrame, training: Column, text: str = "text", lang
     """Languages in order and their normalised prototypes, from rows where `training` holds and the language is known."""
     ship(docs.sparkSession)
     rows = docs.where(training & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    many = rows.groupBy("lang").agg(F.count("*").alias("many"))
+    many = written(rows.groupBy("lang").agg(F.count("*").alias("many")), "languages")
+    many = F.broadcast(many) if many.count() <= LANGUAGES else many
     share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30) * F.col("many") < documents
     rows = rows.join(many, "lang").where(share & F.col("text").isNotNull()).select("lang", "text")
 
