@@ -9,8 +9,8 @@ A byte goes if it is covered by a `length`-byte string that also starts in a doc
 2. Column-wise construction. Strings are dealt out by minimiser to groups of bounded size. In a group all strings are
    inserted together, one symbol of each per round from their ends, as in the construction for read collections:
    a new suffix lands where the last-to-first mapping puts it, and its common prefix with its neighbours is one more
-   than the least common prefix between the two places before. Transform and common prefixes live in two
-   sequential files, read and rewritten once a round.
+   than the least common prefix between the two places before. Transform and common prefixes live in a
+   sequential file, read and rewritten once a round.
 3. Classes. Suffixes with a common prefix of `length` or more are one class; its smallest document keeps the string,
    all others lose it. The result goes back to the documents as spans.
 
@@ -42,7 +42,7 @@ from regionlens.llm.words import mix, text_bytes
 SEED = 16
 #: Minimisers wanted in a hash range, strings wanted in a group.
 RANGE = 1_500_000
-GROUP = 60_000
+GROUP = 25_000
 #: Documents of a minimiser beyond which its windows are dealt out one by one.
 HOT = 40_000
 CHUNK = 8192
@@ -233,50 +233,63 @@ def shared_strings(texts: DataFrame, length: int, bits: int, groups: int, hot: i
 
 
 def insert_columns(body: np.ndarray, lengths: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """Transform and common prefixes of a collection, built column by column in files of `folder`.
+    """Transform and common prefixes of a collection, built column by column in a file of `folder`.
 
     `body` holds the strings behind each other; their bytes are 0 to 254, as in UTF-8. Symbols are bytes + 1, and 0 marks
     the beginning of a string. The first entries are the empty suffixes, in the strings' order.
     """
-    bwt_file, lcp_file = Path(folder, "bwt"), Path(folder, "lcp")
+    file = Path(folder, "columns")  # a symbol and a common prefix for each suffix, in order
     last = np.cumsum(lengths) - 1
-    (body[last] + 1).astype(np.uint8).tofile(bwt_file)
-    np.zeros(len(lengths), np.uint8).tofile(lcp_file)
+    begins = (body[last] + 1).astype(np.uint8)
+    np.stack([begins, np.zeros_like(begins)], axis=1).tofile(file)
+    counts = np.bincount(begins, minlength=256)
     active, place = np.arange(len(lengths)), np.arange(len(lengths))  # strings in the order of their latest suffixes
     for column in range(1, int(lengths.max()) + 1):
-        bwt, lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
-        begun = int((bwt == 0).sum())  # beginnings have no longer suffix; the empty suffixes come before all others
-        at = rank[place]
-        new = at - begun + len(lengths)
+        record = np.fromfile(file, np.uint16)
+        bwt, lcp = (record & 0xFF).astype(np.uint8), (record >> 8).astype(np.uint8)
+        order = np.argsort(bwt, kind="stable")  # places by symbol: where the mapping comes from
         symbol = bwt[place]
+        by = np.argsort(symbol, kind="stable")
+        at = np.empty(len(place), np.int64)
+        at[by] = _ranks(order, counts, symbol[by], place[by])
+        new = at - counts[0] + len(lengths)  # beginnings have no longer suffix; the empty suffixes come before all others
         # common prefixes with the neighbours: one more than the least between the places they come from
         before, after = order[at - 1], order[np.minimum(at + 1, len(order) - 1)]
         joins = (at > 0) & (bwt[before] == symbol)
         joined = (at + 1 < len(order)) & (bwt[after] == symbol)
-        own = np.zeros(len(place), np.uint8)
+        own = np.zeros(len(place), np.uint16)
         own[joins] = _least(lcp, before[joins] + 1, place[joins] + 1) + 1
-        follower = np.zeros(len(place), np.uint8)
+        follower = np.zeros(len(place), np.uint16)
         follower[joined] = _least(lcp, place[joined] + 1, after[joined] + 1) + 1
         by = np.argsort(new)
         new, own, follower, active = new[by], own[by], follower[by], active[by]
         left = lengths[active] > column
         previous = np.zeros(len(active), np.uint8)
         previous[left] = body[last[active[left]] - column] + 1
-        old = np.ones(len(bwt) + len(new), bool)
+        old = np.ones(len(record) + len(new), bool)
         old[new] = False
-        grown_bwt, grown_lcp = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
-        grown_bwt[old], grown_lcp[old] = bwt, lcp
+        grown = np.empty(len(old), np.uint16)
+        grown[old] = record
         behind = new + 1
         inside = behind < len(old)
-        grown_lcp[behind[inside]] = follower[inside]
-        grown_bwt[new], grown_lcp[new] = previous, own
-        grown_bwt.tofile(bwt_file)
-        grown_lcp.tofile(lcp_file)
+        grown[behind[inside]] = (grown[behind[inside]] & 0xFF) | (follower[inside] << 8)
+        grown[new] = previous | (own << 8)
+        grown.tofile(file)
+        counts += np.bincount(previous, minlength=256)
         active, place = active[left], new[left]
-    return np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
+    record = np.fromfile(file, np.uint16)
+    return (record & 0xFF).astype(np.uint8), (record >> 8).astype(np.uint8)
+
+
+def _ranks(order: np.ndarray, counts: np.ndarray, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Where places of sorted symbols stand in the order of places by symbol."""
+    first = np.cumsum(counts) - counts
+    out = np.empty(len(places), np.int64)
+    bounds = np.flatnonzero(np.diff(symbols.astype(np.int16), prepend=-1, append=256))
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        c = symbols[a]
+        out[a:b] = first[c] + np.searchsorted(order[first[c] : first[c] + counts[c]], places[a:b])
+    return out
 
 
 def _least(values: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
