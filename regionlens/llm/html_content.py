@@ -1,11 +1,10 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
 A page becomes a sequence of words and tags in one pass. Words score positive, by the element they stand in; tags
-score negative, by their name. The weights are log odds counted on labelled pages: pages that mark their own
+score negative, by their name. Boilerplate elements are crossed at little cost. The weights are log odds counted on labelled pages: pages that mark their own
 article (`article` or `main`) say which words and tags are content. One linear scan then finds the contiguous region
 with the highest sum on every page, whether it marks its article or not. Elements that are boilerplate by their
-name or by the words of their class, id or role (menus, adverts, forms, comments, ...) score like markup and are
-left out of the region's text.
+name or by the words of their class, id or role (menus, adverts, forms, comments, ...) are left out of the text.
 
 Character references are decoded; white space in a block becomes one space; blocks are joined by two line ends.
 Null and empty pages, and pages without a word in any block, give an empty text of 0 characters. Broken markup is
@@ -59,6 +58,7 @@ def boilerplate(name: str, attributes: str, inside_article: bool) -> bool:
     if attributes and name not in ("html", "body", "article", "main"):
         for value in NAMED.findall(attributes):
             words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+            words.update(re.findall(r"[a-z]+", re.sub(r"[-_]", "", value).lower()))  # side-bar
             if words & MARKS - ({"header"} if inside_article else set()):
                 return True
     return False
@@ -91,14 +91,15 @@ def parts_of(page: str) -> Iterator[tuple[str, str, bool, bool, str]]:
                 if not hidden and name in BLOCKS:
                     yield (f"<{name}>", "", article, junk, name)
                 continue
-            was = hidden
+            was, own = hidden, open_tags[depth][2]
             del open_tags[depth:]
             hidden, junk, article = open_tags[-1][1:] if open_tags else (False, False, False)
             if not was:
-                yield (f"<{name}>", "", article, junk, name)
+                yield (f"<{name}>", "", article, own, name)
             continue
+        own = junk or boilerplate(name, attributes, article)
         if not hidden:
-            yield (f"<{name}>", "", article and name not in ("article", "main"), junk, name)
+            yield (f"<{name}>", "", article and name not in ("article", "main"), own, name)
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
         if name in CLOSES and open_tags and open_tags[-1][0] in CLOSES[name]:
@@ -110,7 +111,7 @@ def parts_of(page: str) -> Iterator[tuple[str, str, bool, bool, str]]:
             continue
         if name == "body":
             hidden = False
-        hidden, junk, article = hidden or name in HIDDEN, junk or boilerplate(name, attributes, article), article or name in ("article", "main")
+        hidden, junk, article = hidden or name in HIDDEN, own, article or name in ("article", "main")
         open_tags.append((name, hidden, junk, article))
 
 
@@ -120,7 +121,9 @@ def count_features(pages: list[str]) -> Counter:
     for page in pages:
         own: Counter = Counter()
         for feature, text, article, junk, _ in parts_of(page):
-            own[feature, article and not junk] += len(text.split()) if text else 1
+            if junk:
+                continue
+            own[feature, article] += len(text.split()) if text else 1
         if any(inside for _, inside in own):
             counts.update(own)
     return counts
@@ -128,7 +131,7 @@ def count_features(pages: list[str]) -> Counter:
 
 def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     """Positive weights for words and negative ones for tags, from counts with mild prior beliefs."""
-    prior = {("p", True): 20, ("h1", True): 5, ("a li", False): 5, ("junk", False): 50, ("<p>", True): 20, ("<b>", True): 5, ("<i>", True): 5, ("<em>", True): 5, ("<a>", True): 2, ("<article>", False): 20, ("<main>", False): 20, ("<nav>", False): 20, ("<footer>", False): 20}
+    prior = {("p", True): 20, ("h1", True): 5, ("a li", False): 5, ("<p>", True): 20, ("<b>", True): 5, ("<i>", True): 5, ("<em>", True): 5, ("<a>", True): 2, ("<article>", False): 20, ("<main>", False): 20, ("<nav>", False): 20, ("<footer>", False): 20}
     total = Counter(prior)
     total.update(counts)
     weights = {}
@@ -137,7 +140,7 @@ def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
         if feature.startswith("<"):
             weights[feature] = -0.3 - min(8.0, max(0.0, 1.0 - odds))
         else:
-            weights[feature] = 0.05 if feature == "junk" else min(3.0, max(0.05, 1.0 + odds / 2))
+            weights[feature] = min(3.0, max(0.05, 1.0 + odds / 2))
     return weights
 
 
@@ -146,10 +149,10 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     parts = list(parts_of(page))
     best, best_span, total, start = 0.0, (0, 0), 0.0, 0
     for i, (feature, text, _, junk, _) in enumerate(parts):
-        if text:
-            n = len(text.split())
-            score = n * weights.get(feature, 0.5) if n else 0.0
-            score = min(score, 1.0) if junk else score
+        if junk:  # crossed at little cost: nothing of it is kept
+            score = 0.0 if text else -0.3
+        elif text:
+            score = len(text.split()) * weights.get(feature, 0.5)
         else:
             score = weights.get(feature, -1.0)
         if total <= 0:

@@ -48,27 +48,24 @@ def grouped(df: DataFrame, keys: list[str], partitions_by: list[str], work: Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
-        def groups(table: pa.Table, last: bool):
-            n = table.num_rows
-            change = np.zeros(n, bool)
-            change[:1] = True
+        def firsts(table: pa.Table) -> np.ndarray:
+            change = np.zeros(table.num_rows, bool)
+            change[0] = True
             for k in keys:
                 values = table.column(k).to_numpy()
                 change[1:] |= values[1:] != values[:-1]
-            starts = np.flatnonzero(change)
-            stop = n if last else int(starts[-1])
-            arrays = {c: table.column(c).to_numpy() if not pa.types.is_binary(table.schema.field(c).type) else None for c in columns}
-            vectors = {}
-            for c in (c for c in columns if arrays[c] is None):
-                joined = b"".join(table.column(c).slice(0, stop).to_pylist())
-                vectors[c] = np.frombuffer(joined, np.float32 if c != "exact" else np.float64).reshape(stop, -1) if stop else None
-            for a, b in zip(starts, np.append(starts[1:], n)):
-                if b <= stop:
-                    yield {c: (arrays[c] if arrays[c] is not None else vectors[c])[a:b] for c in columns}
-            return
-
-        def results(table: pa.Table, last: bool):
-            out = [r for g in groups(table, last) if (r := work(g)) is not None and len(r[0])]
+            return np.flatnonzero(change)
+
+        def groups(table: pa.Table, starts: np.ndarray, last: bool):
+            blobs = {c: table.column(c).to_pylist() for c in columns if pa.types.is_binary(table.schema.field(c).type)}
+            plain = {c: table.column(c).to_numpy() for c in columns if c not in blobs}
+            ends = np.append(starts[1:], table.num_rows) if last else starts[1:]
+            for a, b in zip(starts.tolist(), ends.tolist()):  # vectors of a group are equally long
+                vectors = {c: np.frombuffer(b"".join(v[a:b]), np.float64 if c == "exact" else np.float32).reshape(b - a, -1) for c, v in blobs.items()}
+                yield vectors | {c: v[a:b] for c, v in plain.items()}
+
+        def results(table: pa.Table, starts: np.ndarray, last: bool):
+            out = [r for g in groups(table, starts, last) if (r := work(g)) is not None and len(r[0])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
 
@@ -77,16 +74,11 @@ def grouped(df: DataFrame, keys: list[str], partitions_by: list[str], work: Call
                 continue
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            same = np.zeros(table.num_rows, bool)
-            same[:1] = True
-            for k in keys:
-                values = table.column(k).to_numpy()
-                same[1:] |= values[1:] != values[:-1]
-            starts = np.flatnonzero(same)
-            yield from results(table, False)
+            starts = firsts(table)
+            yield from results(table, starts, False)
             held = table.slice(int(starts[-1]))
         if held is not None:
-            yield from results(held, True)
+            yield from results(held, firsts(held), True)
 
     names = [f.split()[0] for f in schema.split(", ")]
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -12,7 +12,7 @@ fail this are mere likeness of form.
 
 A document is contaminated by an item if a consistent run covers half of the item's windows, or `LONG_RUN` of them.
 Windows of which more than half are placeholders say too little and are not used; items with fewer than `WINDOW` tokens
-have no windows and can't be found. Null and empty texts match nothing. Repeated rows and null ids are kept apart by their
+have no windows and can't be found, and items without id are not searched. Null and empty texts match nothing. Repeated rows and null ids are kept apart by their
 text. Empty tables give no rows. Other columns are not read.
 
 The windows of the benchmark are broadcast as long as they are at most `BROADCAST_WINDOWS`, counted before; beyond that both
@@ -85,7 +85,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     For a pair, the run (windows at one distance from the item's) with the most windows counts. `key` is the hash of
     a row's id and text.
     """
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).distinct()
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null").distinct()
     items = windows(with_template(items, "text"), "item_id")
     items = written(items.where(F.size(values(F.col("held"))) * 2 <= WINDOW), "benchmark-windows")
     sizes = items.groupBy("item_id").agg(F.countDistinct("at").alias("n_item_windows"))
