@@ -60,22 +60,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             yield batch.slice(start)
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (u, v): the smallest node that links lead to.
 
-    Large-star and small-star rounds over written tables until the edges stay the same. A node with very many
+    Large-star and small-star rounds over written tables until only stars are left. A node with very many
     links is reduced by a partial minimum; its links stay spread over the tasks of the join.
     """
     edges = written(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    last = _signature(edges)
-    if not last[0]:
+    if edges.isEmpty():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -86,9 +80,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
         edges = written(small.distinct(), "small-star")
-        now = _signature(edges)
-        if now == last:
-            break
-        last = now
+        again = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+        again = again.union(edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u"))
+        if again.isEmpty():
+            break  # every node has one link, to a node that has none: all links are stars
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

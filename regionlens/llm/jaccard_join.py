@@ -48,7 +48,7 @@ RANGE = 1_500_000
 CHUNK = 8192
 CHUNK_SHINGLES = 4_000_000
 #: Star rounds at most, and the size from which a bucket takes part; all other pairs are left to the last round.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 LARGE_BUCKET = 24
 #: Columns of 64 parities each.
 PARITY = ("odd0", "odd1", "odd2", "odd3")
@@ -273,7 +273,6 @@ def verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             keep = [links(n, m, x, y) for n, m, x, y in zip(*sizes, *sets)]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(pairs, "pairs")
     left = nodes.select(F.col("node").alias("u"), "n", F.col("tokens").alias("x"))
     right = nodes.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("tokens").alias("y"))
     return pairs.join(left, "u").join(right, "v").select("u", "v", "n", "m", "x", "y").mapInArrow(run, "u long, v long")
