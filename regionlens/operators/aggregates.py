@@ -168,9 +168,10 @@ def zone_population(population: DataFrame, max_year: int | None, unit: Sequence[
     return known.groupBy(*unit, "year").agg(sum_or_zero(F.col("population")).alias("population"))
 
 
-def mix(df: DataFrame, by: Sequence[str], value: str = "focus") -> DataFrame:
-    """Sum per combination, positive sums only."""
-    return df.groupBy(*by).agg(sum_or_zero(F.col(value)).alias(value)).where(F.col(value) > 0)
+def mix(df: DataFrame, by: Sequence[str], value: str = "focus", positive: bool = True) -> DataFrame:
+    """Sum per combination; positive sums only, or all of them."""
+    sums = df.groupBy(*by).agg(sum_or_zero(F.col(value)).alias(value))
+    return sums.where(F.col(value) > 0) if positive else sums
 
 
 def frequencies(df: DataFrame, *columns: str) -> DataFrame:
@@ -183,9 +184,12 @@ def units_with_many_names(df: DataFrame, unit: str, name: str) -> DataFrame:
 
 
 def one_hot(df: DataFrame, ids: Sequence[str], category: str, values: Sequence[str]) -> DataFrame:
-    """A 0/1 column per listed category, in one aggregation. Categories outside the list are ignored."""
-    flags = [F.coalesce(F.max((F.col(category) == v).cast("int")), F.lit(0)).alias(v) for v in values]
-    return df.groupBy(*ids).agg(*flags)
+    """A 0/1 column per listed category, in one aggregation. A category outside the list is an error; null has no column."""
+    known = F.col(category).isNull() | F.col(category).isin(*values)
+    unlisted = F.concat(F.lit(f"{category} is not listed: "), F.col(category))
+    checked = F.when(known, F.col(category)).otherwise(F.raise_error(unlisted))
+    flags = [F.coalesce(F.max((F.col("_category") == v).cast("int")), F.lit(0)).alias(v) for v in values]
+    return df.withColumn("_category", checked).groupBy(*ids).agg(*flags)
 
 
 def snake_names(df: DataFrame) -> DataFrame:

@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 from regionlens.functions.text import caption
 from regionlens.session import materialize
 
-# Longest top list that is merged in one task (every partition sends that many rows), and largest
-# counted side that is broadcast.
-PAGE_LIMIT = 1_000
-BROADCAST_ROWS = 100_000
-
 
 def descending(column: str) -> Column:
     """Largest first, unknown last."""
@@ -58,12 +53,8 @@ def ordinal(
         (F.col("_start") - F.min(F.col("_start") + F.col("_from")).over(whole) + 1).alias("_shift"),
         F.sum("_rows").over(whole).alias("_size"),
     )
-    if by:
-        offsets = materialize(offsets, "offsets")
-        if offsets.count() <= BROADCAST_ROWS:
-            offsets = F.broadcast(offsets)
-    else:
-        offsets = F.broadcast(offsets)
+    # Without groups one row per slice; with them Spark sizes the join by what was written.
+    offsets = materialize(offsets, "offsets") if by else F.broadcast(offsets)
     numbered = sliced.withColumns({"_group": group, "_slice": slice_of}).join(offsets, ["_group", "_slice"])
     extra = [F.col("_size").alias(size)] if size else []
     return numbered.select(*df.columns, (inside + F.col("_shift")).alias(name), *extra)
@@ -75,15 +66,14 @@ def rank_in_domain(df: DataFrame, order: Sequence[Column], by: Sequence[str], na
 
 
 def top_rows(df: DataFrame, order: Sequence[Column], n: int | None, name: str = "rank") -> DataFrame:
-    """The first `n` rows in order with their rank; all rows for `n=None`.
+    """The first `n` rows in order with their rank, a `bigint`; all rows for `n=None`.
 
-    Up to `PAGE_LIMIT` rows Spark keeps the best of every partition and merges those. Beyond that
-    the rows are numbered in parallel and filtered.
+    For a number Spark keeps the best of every partition and merges those; the list of `n` rows is
+    numbered in one task. All rows are numbered in parallel.
     """
-    if n is None or n > PAGE_LIMIT:
-        ranked = ordinal(df, order, name=name)
-        return ranked if n is None else ranked.where(F.col(name) <= n)
-    return df.orderBy(*order).limit(n).withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    if n is None:
+        return ordinal(df, order, name=name)
+    return df.orderBy(*order).limit(n).withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int = 10, name: str = "row") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionlens.functions.codes import state_table
-from regionlens.functions.numbers import ratio, sum_or_zero, to_int
+from regionlens.functions.numbers import first_by, ratio, sum_or_zero, to_int
 from regionlens.functions.text import drop_suffix, strip_space
 from regionlens.operators.aggregates import (
     lead_zones,
@@ -90,17 +90,22 @@ def map_supply(supply: DataFrame) -> DataFrame:
     Summed first with the zone among the keys, as a text among the values would make Spark sort the
     whole fact; the first known place is then taken from a row per institution, year and zone.
     """
-    place = [F.max(c).alias(c) for c in ("latitude", "longitude")]
+    known = F.when(F.col("longitude").isNotNull(), F.col("latitude"))  # a place is a pair, never one number of each of two
+    place = [F.min(known).alias("latitude"), F.min_by("longitude", known).alias("longitude")]
     sums = supply.groupBy("year", "unitid", "entity", "zone").agg(
         sum_or_zero(F.col("total")).alias("total"), sum_or_zero(F.col("focus")).alias("focus"), *place
     )
     return map_entities(sums, F.struct("zone")).orderBy(F.asc_nulls_last("year"), F.asc_nulls_last("entity"))
 
 
-def occupation_flags(occupations: DataFrame, industries: Sequence[str]) -> DataFrame:
-    """Occupation table with a 0/1 column `industry_…` per listed industry, without the title."""
+def occupation_flags(occupations: DataFrame, industries: Sequence[str], no_industry: str = "none") -> DataFrame:
+    """Occupation table with a 0/1 column `industry_…` per listed industry, without the title.
+
+    `no_industry` stands for none of them; any other unlisted industry is an error.
+    """
     ids = ["soc", "ed_req", "focus_flag"]
-    wide = snake_names(one_hot(occupations, ids, "industry", industries))
+    named = occupations.withColumn("industry", F.nullif(F.col("industry"), F.lit(no_industry)))
+    wide = snake_names(one_hot(named, ids, "industry", industries))
     return wide.withColumnsRenamed({c: f"industry_{c}" for c in wide.columns if c not in ids})
 
 
@@ -121,12 +126,13 @@ def demand_fact(
     return look_up(rolled, titles, "soc")
 
 
-def map_zones(demand: DataFrame, labels: DataFrame, population: DataFrame, max_year: int = 2023) -> DataFrame:
-    """Zone code and year for the map: totals, percent, population sum, total postings per 1,000."""
+def map_zones(demand: DataFrame, labels: DataFrame, population: DataFrame, max_year: int | None = None) -> DataFrame:
+    """Zone code and year for the map: totals, percent, population sum, total postings per 1,000; years up to `max_year` if given."""
+    shown = F.lit(True) if max_year is None else F.col("year") <= max_year
     placed = look_up(county_population(population), labels, "county").where(F.col("zone_code").isNotNull())
     residents = zone_population(placed, max_year, ["zone_code"])
-    unique = largest_zone_per_label(placed.where(F.col("year") <= max_year))
-    yearly = yearly_postings(demand.where(F.col("year") <= max_year)).drop("population")
+    unique = largest_zone_per_label(placed.where(shown))
+    yearly = yearly_postings(demand.where(shown)).drop("population")
     joined = look_up(keep_matches(yearly, unique, "zone"), residents, ["zone_code", "year"])
     return joined.withColumns(
         {
@@ -140,14 +146,16 @@ def map_zones(demand: DataFrame, labels: DataFrame, population: DataFrame, max_y
 
 
 def yearly_awards(supply: DataFrame) -> DataFrame:
-    """Institution and year: sums, enrolment, flags and zone, which are constant inside a year.
+    """Institution and year: sums, and enrolment, flags and zone of the first unit under that name.
 
-    The largest of a constant is the constant, and the zone is a key of the first sum, so that the
-    pass over the fact stays in hash tables.
+    The zone is a key of the first sum and units are numbers, so that the pass over the fact stays in
+    hash tables.
     """
-    constants = ("enrolled", "rural", "tribal")
-    sums = yearly_supply(supply, ["entity", "zone"], [F.max(c).alias(c) for c in constants])
-    return yearly_supply(sums, ["entity"], [F.max(c).alias(c) for c in constants] + [F.min("zone").alias("zone")])
+    carried = ("enrolled", "rural", "tribal")
+    of_unit = [first_by(F.col(c), F.col("unitid")).alias(c) for c in carried]
+    sums = yearly_supply(supply, ["entity", "zone"], [*of_unit, F.min("unitid").alias("unit")])
+    of_name = [first_by(F.col(c), F.col("unit")).alias(c) for c in (*carried, "zone")]
+    return yearly_supply(sums, ["entity"], of_name)
 
 
 def national_awards(supply: DataFrame) -> DataFrame:

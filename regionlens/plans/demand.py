@@ -131,7 +131,7 @@ def zone_means(t: Tables) -> DataFrame:
 
 def _leaders_sql(metric: str, text: str) -> str:
     return f"""WITH {LEADERS_SQL}
-    SELECT zone, round({metric}, 6) AS {metric}, CAST(row_number() OVER (ORDER BY {metric} DESC NULLS LAST, zone) AS INTEGER) AS rank,
+    SELECT zone, round({metric}, 6) AS {metric}, CAST(row_number() OVER (ORDER BY {metric} DESC NULLS LAST, zone) AS BIGINT) AS rank,
            regexp_replace(regexp_replace(zone, ' CZ$', ''), '^[0-9]+ ', '') || ' — ' || {text} AS caption
     FROM m ORDER BY rank LIMIT {LEADERS}"""
 
@@ -223,7 +223,7 @@ def join_left_multikey(t: Tables) -> DataFrame:
 def occupation_mix(t: Tables, year: int | str | None = None) -> DataFrame:
     """Focus postings per zone, occupation and education requirement, complete years, with totals."""
     facts = demand_by_occupation(t, complete_years(), focus_only=True).where(year_choice(year))
-    sums = mix(facts.where(F.col("soc_title").isNotNull() & F.col("soc").isNotNull()), ["zone", "soc", "soc_title", "ed_req"])
+    sums = mix(facts.where(F.col("soc_title").isNotNull() & F.col("soc").isNotNull()), ["zone", "soc", "soc_title", "ed_req"], positive=False)
     # A zone has at most one row per occupation and level. Bringing it together once serves all windows.
     labelled = classify_occupation(sums, "soc").drop("group_full").repartition("zone")
     totals = group_total(labelled, "focus", ["zone", "soc_title"], "title_total")

@@ -298,7 +298,7 @@ m AS (SELECT entity, avg(total) AS mean_total, avg(focus) AS mean_focus, avg(foc
 @query(
     "leaders_entity_total",
     f"""WITH {LEADERS_SQL}
-    SELECT entity, round(mean_focus, 6) AS mean_focus, CAST(row_number() OVER (ORDER BY mean_focus DESC, entity) AS INTEGER) AS rank,
+    SELECT entity, round(mean_focus, 6) AS mean_focus, CAST(row_number() OVER (ORDER BY mean_focus DESC, entity) AS BIGINT) AS rank,
            entity || ' — ' || format('{{:,}}', CAST(round_even(mean_focus, 0) AS BIGINT)) AS caption
     FROM m ORDER BY rank LIMIT {LEADERS}""",
 )
@@ -315,7 +315,7 @@ def leaders_entity_total(t: Tables, prepared: str | None = None) -> DataFrame:
 @query(
     "leaders_entity_pct",
     f"""WITH {LEADERS_SQL}
-    SELECT entity, round(focus_share, 6) AS focus_share, CAST(row_number() OVER (ORDER BY focus_share DESC, entity) AS INTEGER) AS rank,
+    SELECT entity, round(focus_share, 6) AS focus_share, CAST(row_number() OVER (ORDER BY focus_share DESC, entity) AS BIGINT) AS rank,
            entity || ' — ' || regexp_replace(printf('%.1f', round_even(focus_share * 100, 1)), '\\.0$', '') || '%' AS caption
     FROM m ORDER BY rank LIMIT {LEADERS}""",
 )
@@ -334,7 +334,7 @@ def with_share(df: DataFrame, total: str = "mean_total", focus: str = "mean_focu
     "paged_table",
     f"""WITH {LEADERS_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY focus_share DESC, entity) AS row FROM m)
     SELECT entity, round(mean_total, 6) AS mean_total, round(mean_focus, 6) AS mean_focus, round(focus_share, 6) AS focus_share,
-           CAST(row AS INTEGER) AS row FROM r WHERE row BETWEEN 11 AND 20""",
+           CAST(row AS BIGINT) AS row FROM r WHERE row BETWEEN 11 AND 20""",
 )
 def paged_table(t: Tables, number: int = 2) -> DataFrame:
     return rounded(page(entity_means(t), [descending("focus_share"), ascending("entity")], number))
@@ -346,9 +346,9 @@ def paged_table(t: Tables, number: int = 2) -> DataFrame:
     SELECT year, round(avg(focus) / avg(total), 6) AS value FROM ey GROUP BY year""",
 )
 def resolve_column_metric(t: Tables) -> DataFrame:
-    """The share column of a national table, found under any of its known names."""
-    table = national_supply(entity_years(t)).withColumnsRenamed({"focus_share": "Pct_Focus", "mean_focus": "Mean_Focus"})
-    column = resolve_column(table, ["focus_pct", "pct_focus", "focus_percentage"])
+    """The share column of a national table, found under any of the names the caller lists."""
+    table = national_supply(entity_years(t)).withColumnsRenamed({"focus_share": "Share_Of_Focus", "mean_focus": "Mean_Focus"})
+    column = resolve_column(table, ["focus_share", "share_of_focus"])
     if column is None:
         raise ValueError("no share column")
     return rounded(table.select("year", F.col(column).alias("value")))

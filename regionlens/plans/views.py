@@ -7,7 +7,7 @@ entity or zone within a year (`write_partitions(..., sort=[...])`) and it skips
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +31,8 @@ from regionlens.sources.readers import resolve_column, year_choice
 SUPPLY_METRICS = {"focus": "focus", "percent": "focus_percent"}
 DEMAND_METRICS = {"focus": "focus", "percent": "focus_percent", "per_capita": "per_capita"}
 
-# Names under which a national table may hold a metric.
-NATIONAL_NAMES = {
-    "focus": ["mean_focus", "tot_focus_posts", "focus_posts", "total_focus_posts", "mean_focus_posts"],
-    "percent": ["focus_share", "pct_focus_posts", "focus_pct", "pct_focus", "focus_percentage"],
-    "per_capita": ["per_1000", "posts_per_1000", "posts_per_1k"],
-}
+# The columns of this engine's own national tables; other tables name theirs in an argument.
+NATIONAL_COLUMNS: dict[str, Sequence[str]] = {"focus": ["mean_focus"], "percent": ["focus_share"], "per_capita": ["per_1000"]}
 
 
 def metric_of(choices: dict[str, str], metric: str | None) -> str:
@@ -93,20 +89,22 @@ def trend_of_zone(
     return yearly.withColumns({"value": F.col(DEMAND_METRICS[chosen]).cast("double"), "tooltip": tips[chosen]})
 
 
-def national_series(national: DataFrame, metric: str | None) -> DataFrame:
-    """Year and value of the metric, found under any of its names; shares become percent."""
-    chosen = metric if metric in NATIONAL_NAMES else "focus"
-    column = resolve_column(national, NATIONAL_NAMES[chosen])
-    known = national.where(F.col("year").isNotNull())
+def national_series(national: DataFrame, metric: str | None, names: Mapping[str, Sequence[str]] = NATIONAL_COLUMNS) -> DataFrame:
+    """Year and value of the metric, under the first of its `names` that the table has; shares become percent."""
+    chosen = metric if metric in names else "focus"
+    column = resolve_column(national, names[chosen])
     if column is None:
-        return known.select("year", F.lit(None).cast("double").alias("value"))
+        raise ValueError(f"the national table has no column for {chosen}: {', '.join(names[chosen])}")
+    known = national.where(F.col("year").isNotNull())
     series = known.select("year", F.col(column).cast("double").alias("value"))
     return percent_scaled(series, "value", "value") if chosen == "percent" else series
 
 
-def with_benchmark(trend: DataFrame, national: DataFrame, unit: str, metric: str | None) -> DataFrame:
+def with_benchmark(
+    trend: DataFrame, national: DataFrame, unit: str, metric: str | None, names: Mapping[str, Sequence[str]] = NATIONAL_COLUMNS
+) -> DataFrame:
     """A trend next to the national series over the trend's own years, as long rows."""
-    return against_national(trend, national_series(national, metric), unit, "value", "value")
+    return against_national(trend, national_series(national, metric, names), unit, "value", "value")
 
 
 def programs_of_entity(supply: DataFrame, entity: str, year: int | str | None = None) -> DataFrame:

@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header, `NA` and the empty field as null, columns as declared."""
-    return spark.read.schema(schema).option("header", True).option("nullValue", "NA").csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str, multiline: bool = False) -> DataFrame:
+    """CSV with a header, `NA` and the empty field as null, columns as declared, quotes doubled inside quotes.
+
+    `multiline`: fields may hold line breaks; each file is then read by one task.
+    """
+    reader = spark.read.schema(schema).option("header", True).option("nullValue", "NA").option("escape", '"')
+    return reader.option("multiLine", multiline).csv(path)
 
 
 def read_parquet(

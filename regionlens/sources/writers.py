@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionlens.functions.numbers import half_even
-from regionlens.operators.ranking import ordinal
+from regionlens.operators.ranking import ascending, ordinal
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "gzip") -> None:
@@ -27,8 +27,8 @@ def write_partitions(df: DataFrame, path: str, *keys: str, sort: Sequence[str] =
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; null is written as `NA`."""
-    df.write.option("header", True).option("nullValue", "NA").csv(path)
+    """CSV with a header; null is written as `NA`, a quote inside a field is doubled."""
+    df.write.option("header", True).option("nullValue", "NA").option("escape", '"').csv(path)
 
 
 def display_table(df: DataFrame, names: Mapping[str, str], percent: Sequence[str] = ()) -> DataFrame:
@@ -64,10 +64,10 @@ def point_geometry(longitude: Column, latitude: Column) -> Column:
 
 
 def feature(geometry: Column, properties: Sequence[str]) -> Column:
-    """GeoJSON text of one feature. `geometry` is already GeoJSON text and is carried unchanged."""
+    """GeoJSON text of one feature. `geometry` is already GeoJSON text and is carried unchanged; an unknown one is `null`."""
     fields = F.to_json(F.struct(*properties), {"ignoreNullFields": "false"})
     return F.concat(
-        F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), fields, F.lit("}")
+        F.lit('{"type":"Feature","geometry":'), F.coalesce(geometry, F.lit("null")), F.lit(',"properties":'), fields, F.lit("}")
     )
 
 
@@ -80,7 +80,7 @@ def write_features_by_year(
     brackets of the collection. The part files of a year, read in name order, are one valid document
     however many there are.
     """
-    numbered = ordinal(df, by=[year], order=[F.col(c) for c in order], name="id", size="_last")
+    numbered = ordinal(df, by=[year], order=[ascending(c) for c in order], name="id", size="_last")
     line = F.concat(
         F.when(F.col("id") == 1, F.lit('{"type":"FeatureCollection","features":[')).otherwise(F.lit("")),
         feature(geometry, ["id", *properties]),

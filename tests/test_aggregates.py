@@ -97,11 +97,13 @@ def test_map_entities_takes_first_known(spark):
 
 
 def test_one_hot_and_names(spark):
-    rows = [("11", "Energy + more"), ("11", "2 b"), ("13", "unlisted")]
+    rows = [("11", "Energy + more"), ("11", "2 b"), ("13", None)]
     wide = aggregates.one_hot(spark.createDataFrame(rows, "soc string, kind string"), ["soc"], "kind", ["Energy + more", "2 b", "c"])
     clean = aggregates.snake_names(wide)
     assert clean.columns == ["soc", "energy_more", "x2_b", "c"]
     assert {tuple(r) for r in clean.collect()} == {("11", 1, 1, 0), ("13", 0, 0, 0)}
+    with pytest.raises(Exception, match="kind is not listed: 2 b"):
+        aggregates.one_hot(spark.createDataFrame(rows, "soc string, kind string"), ["soc"], "kind", ["Energy + more"]).collect()
 
 
 def test_spine_fills_gaps(spark):

@@ -68,7 +68,7 @@ def test_demand_fact(demand):
 
 
 def test_map_zones(demand, labels, raw):
-    got = {(r.zone_code, r.year): (r.zone, r.total, r.focus, r.population, r.focus_percent, r.per_1000) for r in build.map_zones(demand, labels, raw["population"]).collect()}
+    got = {(r.zone_code, r.year): (r.zone, r.total, r.focus, r.population, r.focus_percent, r.per_1000) for r in build.map_zones(demand, labels, raw["population"], max_year=2023).collect()}
     assert got == {(1, 2020): ("Erie, AL & Lee, AL", 20, 15, 400.0, 75.0, 50.0), (2, 2020): ("Here", 7, 0, 50.0, 0.0, 140.0)}
 
 
@@ -92,3 +92,11 @@ def test_supply_fact_and_map(spark, labels):
         (2020, "New Name", "Erie, AL & Lee, AL", 2.0, 10, 3, 0.3),
         (2020, "No Zone", None, 2.0, 0, 0, None),
     ]
+
+
+def test_first_unit_and_whole_places(spark):
+    rows = [(2020, 2, "a", "z", 900, 1, 0, 5, 1, 20.0, -80.0), (2020, 1, "a", "z", 100, 0, 1, 5, 1, 10.0, -50.0), (2020, 1, "a", "z", 100, 0, 1, 5, 1, 30.0, None)]
+    supply = spark.createDataFrame(rows, "year int, unitid int, entity string, zone string, enrolled int, rural int, tribal int, total int, focus int, latitude double, longitude double")
+    yearly = build.yearly_awards(supply).collect()
+    assert [(r.enrolled, r.rural, r.tribal, r.total) for r in yearly] == [(100, 0, 1, 15)]
+    assert {(r.unitid, r.latitude, r.longitude) for r in build.map_supply(supply).collect()} == {(1, 10.0, -50.0), (2, 20.0, -80.0)}

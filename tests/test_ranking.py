@@ -43,21 +43,21 @@ def test_ordinal_splits_a_hot_group(spark, uneven):
     assert slices > 3
 
 
-def test_ordinal_beyond_the_broadcast_limit(uneven, monkeypatch):
-    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 0)
+def test_ordinal_in_groups(uneven):
     order = [descending("v"), ascending("id")]
     large = {(r.id, r.place) for r in ranking.ordinal(uneven, order, ["g"], "place").collect()}
     small = {(r.id, r.place) for r in ranking.rank_in_domain(uneven, order, ["g"], "place").collect()}
     assert large == small
 
 
-def test_top_rows_is_a_prefix_of_the_full_order(uneven, monkeypatch):
+def test_top_rows_is_a_prefix_of_the_full_order(uneven):
     order = [descending("v"), ascending("id")]
     full = {(r.id, r["rank"]) for r in ranking.top_rows(uneven, order, None).collect()}
     top = {(r.id, r["rank"]) for r in ranking.top_rows(uneven, order, 20).collect()}
     assert top == {pair for pair in full if pair[1] <= 20}
-    monkeypatch.setattr(ranking, "PAGE_LIMIT", 10)
-    assert {(r.id, r["rank"]) for r in ranking.top_rows(uneven, order, 20).collect()} == top
+    for n in (5, 1000, 1001, None):
+        assert dict(ranking.top_rows(uneven, order, n).dtypes)["rank"] == "bigint"
+    assert {dict(ranking.page(uneven, order, k).dtypes)["row"] for k in (1, 101)} == {"bigint"}
 
 
 def test_pages_tile_the_table(uneven):

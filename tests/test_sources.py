@@ -150,3 +150,24 @@ def test_a_hot_partition_value_becomes_several_files(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert len(list(Path(path).glob("year=2020/*.parquet"))) > 3
     assert spark.read.parquet(path).count() == 200_000
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('name,n\n"x ""y"" z, w",1\n"two\nlines",2\nNA,3\n')
+    rows = readers.read_csv(spark, str(tmp_path / "r.csv"), "name string, n int", multiline=True).collect()
+    assert [(r.name, r.n) for r in rows] == [('x "y" z, w', 1), ("two\nlines", 2), (None, 3)]
+    frame = spark.createDataFrame([('say "a", then b\\', 1), ("two\nlines", 2), (None, 3)], "name string, n int")
+    writers.write_csv(frame, str(tmp_path / "w"))
+    assert {tuple(r) for r in readers.read_csv(spark, str(tmp_path / "w"), "name string, n int", multiline=True).collect()} == {tuple(r) for r in frame.collect()}
+
+
+def test_features_without_shape_or_name(spark, tmp_path):
+    import json
+
+    frame = spark.createDataFrame([(2020, None, None), (2020, "a", '{"type":"Point","coordinates":[1,2]}'), (2021, "b", None)], "year int, name string, shape string")
+    writers.write_features_by_year(frame, str(tmp_path / "f"), F.col("shape"), ["name"], ["name"])
+    for year, names in ((2020, ["a", None]), (2021, ["b"])):
+        files = sorted((tmp_path / "f" / f"file_year={year}").glob("part-*"))
+        document = json.loads("".join(p.read_text() for p in files))
+        assert [f["properties"]["name"] for f in document["features"]] == names
+        assert document["features"][-1]["geometry"] is None

@@ -18,7 +18,7 @@ def supply(spark):
         ("b", 2020, "14.01", "Eng", "1", 100, 1, 10, None, 1, "y"),
     ]
     schema = "entity string, year int, code string, title string, award_level string, total long, focus long, enrolled long, rural int, tribal int, zone string"
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(rows, schema).withColumn("unitid", F.lit(1))
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +50,10 @@ def test_national_series(spark, supply):
     national = spark.createDataFrame([(y, 10.0 * y, 0.5) for y in (2019, 2020, 2021, 2022, 2023)], "year int, Mean_Focus double, FOCUS_SHARE double")
     both = views.with_benchmark(views.trend_of_entity(supply, "a", "percent"), national, "entity", "percent").collect()
     assert sorted((r.series, r.year, r.value) for r in both if r.series == "national") == [("national", y, 50.0) for y in (2020, 2021, 2022)]
-    assert {r.value for r in views.national_series(national, "per_capita").collect()} == {None}
+    with pytest.raises(ValueError, match="per_capita"):
+        views.national_series(national, "per_capita")
+    other = national.withColumnsRenamed({"Mean_Focus": "Published"})
+    assert views.national_series(other, "focus", {"focus": ["absent", "published"]}).count() == 5
 
 
 def test_programs_of_entity(supply):
