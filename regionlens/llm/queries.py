@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from regionlens.llm import hash_ring, html_content, jaccard_join, language_id, nn_descent, packing, suffix_dedup, templates, token_counts, toxicity
+from regionlens.llm import (
+    byte_bpe, fill_in_middle, hash_ring, html_content, jaccard_join, language_id, nn_descent, packing, source_divergence, suffix_dedup, templates,
+    token_counts, toxicity,
+)
 from regionlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +75,27 @@ def op10_html_content(spark: SparkSession, folder: str) -> DataFrame:
     return html_content.extract(table(spark, folder, "pages"))
 
 
+@query
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.fill_in_middle(table(spark, folder, "documents")))
+
+
+ORACLES["op11_fill_in_middle"] = fill_in_middle.SQL
+
+
+@query
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.audit(table(spark, folder, "documents"))
+
+
+ORACLES["op12_source_divergence"] = source_divergence.SQL
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(table(spark, folder, "documents"))))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

@@ -10,7 +10,7 @@ from test_near_duplicates import brute_repeats, brute_sets, classes
 
 
 def test_registered():
-    assert len([q for q in QUERIES if q.startswith("op")]) == 10 and "pipeline" in QUERIES
+    assert len([q for q in QUERIES if q.startswith("op")]) == 13 and "pipeline" in QUERIES
     assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -44,19 +45,19 @@ def test_any_text(text):
         assert (own.count(text) if isinstance(own, Counter) else len(own.encode(text)) // 4) == len(ids)
 
 
-_CACHE: dict = {}
-
-
+@cache
 def _counter():
-    return _CACHE.setdefault("counter", Counter(BYTES))
+    return Counter(BYTES)
 
 
+@cache
 def _encoder():
-    return _CACHE.setdefault("encoder", Encoder(WORDS))
+    return Encoder(WORDS)
 
 
+@cache
 def _library(path):
-    return _CACHE.setdefault(path, Tokenizer.from_file(path))
+    return Tokenizer.from_file(path)
 
 
 def test_whole_tokens_are_single(counter):
