@@ -7,7 +7,7 @@ how many original rows a row stands for, so that means stay means over original
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,24 +137,29 @@ def map_entities(
 
 
 def roll_up_postings(
-    postings: DataFrame, key: Column, first: Sequence[str] = ("ed_req", "focus_flag"),
-    family: str = "industry_", weight: str | None = None,
+    postings: DataFrame, key: Column, first: Sequence[str] | Mapping[str, Column] = ("ed_req", "focus_flag"),
+    family: str = "industry_", weight: str | None = None, mean: Column | None = None,
 ) -> DataFrame:
     """County rows to zone, year and occupation: sum, mean population, first attributes in key order.
 
     Columns that start with `family` are taken along the same way. Rows without a zone are dropped
     and an unknown focus flag becomes 0. Attributes are numeric codes and the key one number, which
     keeps the aggregation in hash tables; text that depends on the occupation is looked up afterwards.
+    Attributes may have keys of their own, and `mean` may give the mean population of rows that are sums already.
     """
-    carried = [*first, *[c for c in postings.columns if c.startswith(family)]]
-    population = F.avg("population") if weight is None else weighted_mean(F.col("population"), F.col(weight))
+    keys = first if isinstance(first, Mapping) else {c: key for c in first}
+    carried = {**keys, **{c: key for c in postings.columns if c.startswith(family)}}
+    if mean is not None:
+        population = mean
+    else:
+        population = F.avg("population") if weight is None else weighted_mean(F.col("population"), F.col(weight))
     rolled = (
         postings.where(F.col("zone").isNotNull())
         .groupBy("zone", "year", "soc")
         .agg(
             population.cast("double").alias("population"),
             sum_or_zero(F.col("total")).alias("total"),
-            *[first_by(F.col(c), key).alias(c) for c in carried],
+            *[first_by(F.col(c), own).alias(c) for c, own in carried.items()],
         )
     )
     return rolled.fillna({"focus_flag": 0}) if "focus_flag" in carried else rolled
@@ -225,10 +230,19 @@ def against_national(trend: DataFrame, national: DataFrame, unit: str, metric: s
     return own.unionByName(benchmark.select(unit, "year", F.lit("national").alias("series"), "value"))
 
 
-def percent_scaled(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Times 100 if no value of the whole column is above 1. The maximum is one scalar."""
-    largest = df.select(F.max(column)).scalar()
-    return df.withColumn(name, F.when(largest <= 1, F.col(column) * 100).otherwise(F.col(column)))
+def column_facts(df: DataFrame, facts: Mapping[str, Column]) -> dict[str, Column]:
+    """Aggregates over a whole table as scalars to be used beside its rows.
+
+    However many there are, they are the fields of one row of one scan.
+    """
+    row = df.agg(F.struct(*[fact.alias(name) for name, fact in facts.items()]).alias("_facts")).scalar()
+    return {name: row.getField(name) for name in facts}
+
+
+def percent_scaled(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """Each column, under its new name, times 100 if no value of the whole column is above 1."""
+    largest = column_facts(df, {c: F.max(c) for c in names})
+    return df.withColumns({name: F.when(largest[c] <= 1, F.col(c) * 100).otherwise(F.col(c)) for c, name in names.items()})
 
 
 def percent_scaled_by_value(value: Column) -> Column:

@@ -39,11 +39,21 @@ def look_up_renamed(left: DataFrame, right: DataFrame, keys: Mapping[str, str],
     return left.join(renamed, condition, "left").drop(*hidden.values())
 
 
-def rows_of_latest(df: DataFrame, unit: str | Sequence[str], when: str) -> DataFrame:
-    """Rows at the largest `when` of their unit. Pass an aggregated table: the maximum is joined back."""
+def rows_of_latest(df: DataFrame, unit: str | Sequence[str], when: str, known: DataFrame | None = None, only: object = None) -> DataFrame:
+    """Rows at the largest `when` of their unit, of all units or of `only` one.
+
+    `known`: a small table with the units and their `when`s, by default `df` itself. The smallest of the maxima is
+    a scalar that Spark has before it opens `df`, so that of a table stored by `when` only the folders from there
+    on are read; of a single unit, only its last one.
+    """
     units = [unit] if isinstance(unit, str) else list(unit)
-    latest = df.groupBy(*units).agg(F.max(when).alias(when))
-    return df.join(latest, [*units, when])
+    seen = df if known is None else known
+    if only is not None:
+        seen, df = seen.where(F.col(units[0]) == F.lit(only)), df.where(F.col(units[0]) == F.lit(only))
+        if len(units) == 1:
+            return df.where(F.col(when) == seen.select(F.max(when)).scalar())
+    latest = seen.groupBy(*units).agg(F.max(when).alias(when))
+    return df.where(F.col(when) >= latest.select(F.min(when)).scalar()).join(latest, [*units, when])
 
 
 def stack_extracts(extracts: Mapping[object, DataFrame], tag: str) -> DataFrame:

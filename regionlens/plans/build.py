@@ -113,26 +113,44 @@ def county_population(population: DataFrame) -> DataFrame:
     return population.select(to_int(F.col("geoid")).alias("county"), "year", "population")
 
 
-def demand_fact(
+def demand_rows(
     postings: DataFrame, labels: DataFrame, occupations: DataFrame, population: DataFrame, industries: Sequence[str]
 ) -> DataFrame:
-    """Postings per zone, year and occupation."""
+    """Postings per county, year and occupation with what the other inputs say about them."""
     known = postings.where(~F.col("county_name").contains(UNKNOWN))
     zoned = look_up(known, labels.select("county", "zone"), "county")
     described = look_up(zoned, occupation_flags(occupations, industries), "soc")
-    counted = look_up(described, county_population(population), ["county", "year"])
-    rolled = roll_up_postings(counted, F.col("county"))
-    titles = occupations.groupBy("soc").agg(F.min("soc_title").alias("soc_title"))
-    return look_up(rolled, titles, "soc")
+    return look_up(described, county_population(population), ["county", "year"])
+
+
+def occupation_titles(occupations: DataFrame) -> DataFrame:
+    return occupations.groupBy("soc").agg(F.min("soc_title").alias("soc_title"))
+
+
+def demand_of_rows(rows: DataFrame, titles: DataFrame) -> DataFrame:
+    """Postings per zone, year and occupation; the title is joined to the sums."""
+    return look_up(roll_up_postings(rows, F.col("county")), titles, "soc")
+
+
+def demand_fact(
+    postings: DataFrame, labels: DataFrame, occupations: DataFrame, population: DataFrame, industries: Sequence[str]
+) -> DataFrame:
+    """Postings per zone, year and occupation."""
+    return demand_of_rows(demand_rows(postings, labels, occupations, population, industries), occupation_titles(occupations))
 
 
 def map_zones(demand: DataFrame, labels: DataFrame, population: DataFrame, max_year: int | None = None) -> DataFrame:
     """Zone code and year for the map: totals, percent, population sum, total postings per 1,000; years up to `max_year` if given."""
+    return zones_on_map(yearly_postings(demand), labels, population, max_year)
+
+
+def zones_on_map(yearly: DataFrame, labels: DataFrame, population: DataFrame, max_year: int | None = None) -> DataFrame:
+    """The same from the yearly sums of the zones."""
     shown = F.lit(True) if max_year is None else F.col("year") <= max_year
     placed = look_up(county_population(population), labels, "county").where(F.col("zone_code").isNotNull())
     residents = zone_population(placed, max_year, ["zone_code"])
     unique = largest_zone_per_label(placed.where(shown))
-    yearly = yearly_postings(demand.where(shown)).drop("population")
+    yearly = yearly.where(shown).drop("population")
     joined = look_up(keep_matches(yearly, unique, "zone"), residents, ["zone_code", "year"])
     return joined.withColumns(
         {
@@ -180,7 +198,10 @@ def national_postings(demand: DataFrame, numerator: str = "focus") -> DataFrame:
 
 def zone_year_table(demand: DataFrame) -> DataFrame:
     """Zone and year with focus share and focus postings per 1,000 residents."""
-    yearly = yearly_postings(demand)
+    return with_zone_rates(yearly_postings(demand))
+
+
+def with_zone_rates(yearly: DataFrame) -> DataFrame:
     return yearly.withColumns(
         {
             "focus_share": ratio(F.col("focus"), F.col("total")),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionlens.functions.codes import classify_occupation
+from regionlens.functions.numbers import ratio
 from regionlens.functions.text import comma, comma_tenths, percent_text, pretty_zone
 from regionlens.operators.aggregates import (
     demand_rates,
@@ -24,6 +25,7 @@ from regionlens.operators.ranking import (
     descending,
     group_total,
     leaderboard,
+    order_groups_and_items,
     top_items_per_group,
     top_rows_per_group,
 )
@@ -31,14 +33,15 @@ from regionlens.plans.facts import (
     DEMAND_SQL,
     ZONE_YEAR_SQL,
     Tables,
-    demand_by_occupation,
+    demand_lines,
     demand_by_order,
     residents,
-    occupations,
     supply_by_unit,
     units,
+    with_demand_names,
 )
 from regionlens.plans.registry import query, rounded
+from regionlens.session import materialize
 from regionlens.sources.readers import before_year, outside_year, year_choice
 
 PARTIAL_YEAR = 2001
@@ -168,9 +171,10 @@ def leaders_zone_per1000(t: Tables) -> DataFrame:
 )
 def fact_zone_year_code(t: Tables) -> DataFrame:
     """Orders as county rows. The numeric attributes come from the first order, the title from the code."""
-    rolled = roll_up_postings(demand_by_occupation(t), F.col("order_key"), ["ed_req", "focus_flag"], weight="rows")
-    titles = occupations(t).select("soc", "soc_title").distinct()
-    return rounded(look_up(rolled, titles, "soc"))
+    lines = demand_lines(t, "population", "ed_req").withColumnsRenamed({"zone_code": "zone", "soc_id": "soc"})
+    keys = {"ed_req": F.col("order_key"), "focus_flag": F.col("flag_key")}
+    rolled = roll_up_postings(lines, F.col("order_key"), keys, mean=ratio(F.sum("population"), F.count("population")))
+    return rounded(with_demand_names(rolled.withColumnsRenamed({"zone": "zone_code", "soc": "soc_id"}), t))
 
 
 def county_years(t: Tables) -> DataFrame:
@@ -220,14 +224,18 @@ def join_left_multikey(t: Tables) -> DataFrame:
     return look_up(zone_years(t).select("zone", "year", "total"), by_zone, ["zone", "year"])
 
 
+TOTALS = ("group_total", "title_total")
+
+
 def occupation_mix(t: Tables, year: int | str | None = None) -> DataFrame:
     """Focus postings per zone, occupation and education requirement, complete years, with totals."""
-    facts = demand_by_occupation(t, complete_years(), focus_only=True).where(year_choice(year))
-    sums = mix(facts.where(F.col("soc_title").isNotNull() & F.col("soc").isNotNull()), ["zone", "soc", "soc_title", "ed_req"], positive=False)
-    # A zone has at most one row per occupation and level. Bringing it together once serves all windows.
-    labelled = classify_occupation(sums, "soc").drop("group_full").repartition("zone")
-    totals = group_total(labelled, "focus", ["zone", "soc_title"], "title_total")
-    return group_total(totals, "focus", ["zone", "group"], "group_total")
+    lines = demand_lines(t, "ed_req", when=complete_years(), lines=F.col("l_returnflag") == "R").where(year_choice(year))
+    named = with_demand_names(mix(lines, ["zone_code", "soc_id", "ed_req"], positive=False), t)
+    known = named.where(F.col("soc_title").isNotNull() & F.col("soc").isNotNull())
+    labelled = classify_occupation(known.select("zone", "soc", "soc_title", "ed_req", "focus"), "soc").drop("group_full")
+    # An occupation has a row per level, a group at most a code table's occupations: no task gets a whole zone.
+    grouped = group_total(labelled, "focus", ["zone", "group"], "group_total")
+    return group_total(grouped, "focus", ["zone", "soc_title"], "title_total")
 
 
 OCCUPATION_SQL = DEMAND_SQL + f""",
@@ -268,3 +276,32 @@ def occupations_top_groups(t: Tables, n: int | None = SHOWN, year: int | str | N
     """All rows of the first `n` occupations of every zone."""
     order = [descending("title_total"), ascending("soc_title")]
     return top_items_per_group(occupation_mix(t, year), order, ["zone"], n)
+
+
+def _order_sql(shown: str) -> str:
+    return f"""SELECT {OCCUPATION_COLUMNS},
+      CAST(dense_rank() OVER (PARTITION BY zone ORDER BY group_total DESC, "group") AS INTEGER) AS group_rank,
+      CAST(dense_rank() OVER (PARTITION BY zone, "group" ORDER BY title_total DESC, soc_title) AS INTEGER) AS item_rank FROM {shown}"""
+
+
+@query(
+    "occupations_in_order",
+    f"""WITH {OCCUPATION_SQL},
+    r AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY title_total DESC, soc_title, ed_req, soc) AS rank FROM w),
+    shown AS (SELECT * FROM r WHERE rank <= {SHOWN})
+    {_order_sql("shown")}""",
+)
+def occupations_in_order(t: Tables, n: int | None = SHOWN, year: int | str | None = None) -> DataFrame:
+    """The rows shown for every zone with the place of their group among those shown and of the occupation in its group."""
+    shown = occupations_top_rows(t, n, year)
+    return order_groups_and_items(materialize(shown, "shown"), "group", "soc_title", ["zone"], TOTALS)
+
+
+@query(
+    "occupations_in_order_all",
+    f"""WITH {OCCUPATION_SQL}, shown AS (SELECT *, dense_rank() OVER (PARTITION BY zone ORDER BY title_total DESC, soc_title) AS rank FROM w)
+    {_order_sql("shown").replace(", CAST(rank AS INTEGER) AS rank", "")}""",
+)
+def occupations_in_order_all(t: Tables) -> DataFrame:
+    """The order of all groups and occupations of every zone, without a cut."""
+    return order_groups_and_items(materialize(occupation_mix(t), "occupations"), "group", "soc_title", ["zone"], TOTALS)

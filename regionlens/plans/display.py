@@ -248,7 +248,7 @@ def flag_yes_no(t: Tables) -> DataFrame:
 def percent_autoscale(t: Tables) -> DataFrame:
     """A column of shares becomes percent, a column with larger values stays."""
     rows = t.read("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_discount", "l_quantity")
-    scaled = percent_scaled(percent_scaled(rows, "l_discount", "discount"), "l_quantity", "quantity")
+    scaled = percent_scaled(rows, {"l_discount": "discount", "l_quantity": "quantity"})
     return rounded(scaled.drop("l_discount", "l_quantity"))
 
 

@@ -132,14 +132,14 @@ def supply_by_entity(t: Tables, *attributes: str, enrolment: bool = False) -> Da
 def focus_by_program(t: Tables, with_year: bool = False) -> DataFrame:
     """Focus awards per unit, program and award level (and year).
 
-    Lines without focus awards add nothing and are dropped at the scan. The rest is summed per unit
-    before the units are joined.
+    Lines without focus awards add nothing and are dropped at the scan. The rest is summed by numbers alone, per unit
+    and part; the texts of parts and units are joined to the sums.
     """
     time = ["year"] if with_year else []
     focus_only = F.col("l_returnflag") == "R"
-    lines = supply_lines(t, "unitid", "part_id", "award_level", "focus", *time, when=focus_only).join(programs(t), "part_id")
-    sums = lines.groupBy("unitid", "code", "title", "award_level", *time).agg(F.sum("focus").alias("focus"))
-    return sums.join(units(t, "entity"), "unitid")
+    lines = supply_lines(t, "unitid", "part_id", "award_level", "focus", *time, when=focus_only)
+    sums = lines.groupBy("unitid", "part_id", "award_level", *time).agg(F.sum("focus").alias("focus"))
+    return sums.join(programs(t), "part_id").drop("part_id").join(units(t, "entity"), "unitid")
 
 
 # --- demand -----------------------------------------------------------------------------------
@@ -176,6 +176,7 @@ def demand_orders(t: Tables, *names: str, when: Column | None = None) -> DataFra
 
 
 def occupations(t: Tables) -> DataFrame:
+    """Every part with the code and title of its occupation, which its size and type make."""
     return t.read("part").selectExpr(
         "p_partkey AS part_id",
         "lpad(CAST(p_size AS STRING), 2, '0') || '-' || p_type AS soc",
@@ -183,6 +184,22 @@ def occupations(t: Tables) -> DataFrame:
     )
 
 
+def _smallest_parts(t: Tables) -> DataFrame:
+    """Size and type, which make an occupation, with the smallest part that has them: the occupation's number."""
+    parts = t.read("part", "p_partkey", "p_size", "p_type")
+    return parts.groupBy(F.struct("p_size", "p_type").alias("_kind")).agg(F.min("p_partkey").alias("soc_id"))
+
+
+def occupation_numbers(t: Tables) -> DataFrame:
+    """Part and the number of its occupation, so that facts are summed by numbers; unknown sizes and types count as values."""
+    parts = t.read("part", "p_partkey", "p_size", "p_type").select(F.col("p_partkey").alias("part_id"), F.struct("p_size", "p_type").alias("_kind"))
+    return parts.join(_smallest_parts(t), "_kind").select("part_id", "soc_id")
+
+
+def zone_names(t: Tables) -> DataFrame:
+    return t.read("nation", "n_nationkey", "n_name").selectExpr("n_nationkey AS zone_code", "n_name AS zone")
+
+
 def demand_by_order(t: Tables, when: Column | None = None) -> DataFrame:
     """The demand fact per order; `rows` is the number of original rows.
 
@@ -196,21 +213,24 @@ def demand_by_order(t: Tables, when: Column | None = None) -> DataFrame:
     return sums.join(demand_orders(t, "zone", "population", when=when), "order_key")
 
 
-def demand_by_occupation(t: Tables, when: Column | None = None, focus_only: bool = False) -> DataFrame:
-    """The demand fact per order and occupation. An occupation is in focus in an order if any line is."""
-    lines = t.read("lineitem")
-    if focus_only:
-        lines = lines.where(F.col("l_returnflag") == "R")
-    named = lines.selectExpr(
+def demand_lines(t: Tables, *names: str, when: Column | None = None, lines: Column | None = None) -> DataFrame:
+    """Every line with its order's columns and the number of its occupation: numbers only, names are joined to sums.
+
+    `flag_key` orders by order and puts a focus line before the other lines of the order.
+    """
+    fact = t.read("lineitem")
+    fact = (fact if lines is None else fact.where(lines)).selectExpr(
         "l_orderkey AS order_key", "l_partkey AS part_id", f"{QUANTITY} AS total", f"{FOCUS} AS focus", f"{FOCUS_FLAG} AS focus_flag"
-    ).join(occupations(t), "part_id")
-    sums = named.groupBy("order_key", "soc", "soc_title").agg(
-        F.sum("total").alias("total"),
-        F.sum("focus").alias("focus"),
-        F.max("focus_flag").alias("focus_flag"),
-        F.count(F.lit(1)).alias("rows"),
     )
-    return sums.join(demand_orders(t, "zone", "population", "ed_req", when=when), "order_key")
+    place = F.when(F.col("focus_flag") == 1, 0).when(F.col("focus_flag") == 0, 1).otherwise(2)
+    placed = fact.join(demand_orders(t, "zone_code", *names, when=when), "order_key").withColumn("flag_key", F.col("order_key") * 4 + place)
+    return placed.join(occupation_numbers(t), "part_id")
+
+
+def with_demand_names(sums: DataFrame, t: Tables) -> DataFrame:
+    """Occupation code, title and zone in place of their numbers."""
+    occupation = occupations(t).withColumnRenamed("part_id", "soc_id")
+    return sums.join(occupation, "soc_id").join(zone_names(t), "zone_code").drop("soc_id", "zone_code")
 
 
 # --- the same facts as SQL, row by row ----------------------------------------------------------

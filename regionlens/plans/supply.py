@@ -40,8 +40,8 @@ from regionlens.plans.facts import (
     units,
 )
 from regionlens.plans.registry import query, rounded
-from regionlens.session import materialize, scratch_path
-from regionlens.sources.readers import in_year, read_or_build, resolve_column, year_choice
+from regionlens.session import materialize
+from regionlens.sources.readers import in_year, read_csv, read_or_build, resolve_column, year_choice
 
 LEADERS = 150
 
@@ -258,7 +258,7 @@ def rank_groups_items(t: Tables) -> DataFrame:
            CAST(row_number() OVER (PARTITION BY entity ORDER BY median_value, title) AS INTEGER) AS median_order FROM v""",
 )
 def reorder_by_mean_median(t: Tables) -> DataFrame:
-    return rounded(order_by_summary(program_mix(t), "title", "focus", ["entity"]))
+    return rounded(order_by_summary(materialize(program_mix(t), "program-mix"), "title", "focus", ["entity"]))
 
 
 @query(
@@ -304,11 +304,10 @@ m AS (SELECT entity, avg(total) AS mean_total, avg(focus) AS mean_focus, avg(foc
 )
 def leaders_entity_total(t: Tables, prepared: str | None = None) -> DataFrame:
     """Top entities by mean focus awards, from a list prepared earlier if there is one."""
-    path = prepared or scratch_path(t.spark, "no-prepared-leaders")
-    source = read_or_build(
-        lambda: t.spark.read.schema("entity string, mean_focus double").option("header", True).csv(path),
-        lambda: entity_means(t),
-    )
+    if prepared is None:
+        source = entity_means(t)
+    else:
+        source = read_or_build(lambda: read_csv(t.spark, prepared, "entity string, mean_focus double"), lambda: entity_means(t))
     return rounded(leaderboard(source, "entity", "mean_focus", comma(F.col("mean_focus")), LEADERS))
 
 

@@ -15,15 +15,18 @@ from pyspark.sql import functions as F
 from regionlens.functions.codes import classify_award, classify_occupation, classify_program, label_codes
 from regionlens.functions.numbers import half_even, is_whole, ratio_or_zero, sum_or_zero
 from regionlens.functions.text import comma, comma_tenths, html_popup, lines, percent_fixed, percent_text, plain_number, pretty_zone, yes_no
-from regionlens.operators.aggregates import against_national, demand_rates, mix, percent_scaled, supply_rates, with_focus, yearly_demand, yearly_supply
+from regionlens.operators.aggregates import against_national, column_facts, demand_rates, mix, percent_scaled, supply_rates, with_focus, yearly_demand, yearly_supply
+from regionlens.operators.joins import rows_of_latest
 from regionlens.operators.ranking import (
     ascending,
     descending,
     group_total,
     leaderboard,
+    order_groups_and_items,
     rank_groups_and_items,
     share_of_group,
     top_rows,
+    top_rows_per_group,
 )
 from regionlens.sources.readers import resolve_column, year_choice
 
@@ -97,7 +100,7 @@ def national_series(national: DataFrame, metric: str | None, names: Mapping[str,
         raise ValueError(f"the national table has no column for {chosen}: {', '.join(names[chosen])}")
     known = national.where(F.col("year").isNotNull())
     series = known.select("year", F.col(column).cast("double").alias("value"))
-    return percent_scaled(series, "value", "value") if chosen == "percent" else series
+    return percent_scaled(series, {"value": "value"}) if chosen == "percent" else series
 
 
 def with_benchmark(
@@ -125,7 +128,8 @@ def occupations_of_zone(
 ) -> DataFrame:
     """The first `n` rows (occupation and education) of a zone by occupation total; all for `n=None`.
 
-    Totals are taken before the cut. Unknown education is the explicit level `Missing`.
+    Totals are taken before the cut; `group_rank` and `item_rank` order the groups shown by their total and the
+    occupations of a group by theirs. Unknown education is the explicit level `Missing`.
     """
     rows = demand.where((F.col("zone") == zone) & (F.col("focus_flag") == 1) & year_choice(year))
     if partial_year is not None:
@@ -138,7 +142,33 @@ def occupations_of_zone(
     tooltip = lines(
         ("SOC Group", F.col("group_full")), ("Occupation", F.col("soc_title")), ("Education", F.col("education")), ("Postings", comma(F.col("total")))
     )
-    return top_rows(totals, order, n).withColumn("tooltip", tooltip)
+    shown = top_rows(totals, order, n).withColumn("tooltip", tooltip)
+    return order_groups_and_items(shown, "group", "soc_title", names=("group_total", "title_total"))
+
+
+def latest_programs(supply: DataFrame, years: DataFrame, entity: str | None = None) -> DataFrame:
+    """Focus awards by program and level in the last year with any award, of one entity or of every one.
+
+    `years`: the yearly sums of the entities, which tell the last year without a pass over the fact.
+    """
+    rows = rows_of_latest(supply, "entity", "year", years.select("entity", "year"), entity)
+    return mix(rows, ["entity", "year", "code", "title", "award_level"])
+
+
+def latest_occupations(
+    demand: DataFrame, years: DataFrame, labels: list[tuple[str, str]], zone: str | None = None, n: int | None = 10, partial_year: int | None = None
+) -> DataFrame:
+    """The first `n` rows (occupation and education) of the last complete year, of one zone or of every one.
+
+    `years`: the yearly sums of the zones. Unknown education is the explicit level `Missing`.
+    """
+    known = years.select("zone", "year")
+    known = known if partial_year is None else known.where(F.col("year") != partial_year)
+    rows = rows_of_latest(demand, "zone", "year", known, zone).where((F.col("focus_flag") == 1) & F.col("soc_title").isNotNull())
+    sums = rows.groupBy("zone", "year", "soc_title", "ed_req").agg(sum_or_zero(F.col("total")).alias("total"))
+    totals = group_total(label_codes(sums, "ed_req", labels, "education", "education_rank"), "total", ["zone", "soc_title"], "title_total")
+    order = [descending("title_total"), ascending("soc_title"), ascending("education_rank"), ascending("ed_req")]
+    return top_rows_per_group(totals, order, ["zone"], n)
 
 
 def entity_leaders(table: DataFrame, metric: str, n: int | None = 150) -> DataFrame:
@@ -191,21 +221,22 @@ def zone_display(table: DataFrame) -> DataFrame:
 def shown_numbers(table: DataFrame, percent: Sequence[str] = ()) -> DataFrame:
     """Numeric columns of any table as text: shares as percent, whole columns with separators, others to two digits.
 
-    Whether a column is whole, or a share that needs scaling, is decided over the whole column; the
-    answers are scalars of one extra pass.
+    Whether a column is whole, or a share that needs scaling, is decided over the whole column. One extra pass answers
+    for all columns.
     """
     kinds = ("int", "bigint", "float", "double", "decimal")
     numeric = [name for name, kind in table.dtypes if kind.startswith(kinds)]
-    shares = [c for c in numeric if c in percent]
-    for column in shares:
-        table = percent_scaled(table, column, column)
-    others = [c for c in numeric if c not in shares]
-    facts = table.agg(*[is_whole(F.col(c)).alias(c) for c in others]) if others else None
-    texts = {c: F.concat(plain_number(F.col(c), 2), F.lit("%")) for c in shares}
-    for column in others:
-        whole = facts.select(column).scalar()
-        texts[column] = F.when(whole, comma(F.col(column))).otherwise(plain_number(F.col(column).cast("double"), 2))
-    return table.withColumns(texts)
+    if not numeric:
+        return table
+    facts = column_facts(table, {c: F.max(c) <= 1 if c in percent else is_whole(F.col(c)) for c in numeric})
+
+    def text(column: str) -> Column:
+        value = F.col(column)
+        if column in percent:
+            return F.concat(plain_number(F.when(facts[column], value * 100).otherwise(value), 2), F.lit("%"))
+        return F.when(facts[column], comma(value)).otherwise(plain_number(value.cast("double"), 2))
+
+    return table.withColumns({c: text(c) for c in numeric})
 
 
 def trend_title(zone: Column) -> Column:

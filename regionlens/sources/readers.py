@@ -35,6 +35,12 @@ def read_partitions(spark: SparkSession, path: str, **values: object) -> DataFra
     return df
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Is there anything under this path, in whatever file system it names?"""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def named_table(df: DataFrame, name: str) -> DataFrame:
     """Register `df` under a name and return the handle to it."""
     df.createOrReplaceTempView(name)

@@ -16,14 +16,23 @@ def write_parquet(df: DataFrame, path: str, compression: str = "gzip") -> None:
     df.write.option("compression", compression).parquet(path)
 
 
-def write_partitions(df: DataFrame, path: str, *keys: str, sort: Sequence[str] = ()) -> None:
+def write_partitions(
+    df: DataFrame, path: str, *keys: str, sort: Sequence[str] = (), find: Sequence[str] = (),
+    row_group_bytes: int = 32 << 20, distinct: int = 100_000,
+) -> None:
     """Directory per key value. `rebalance` sizes the files: small values share a task and a value
-    that holds much of the table is split over several. Rows are sorted so that file statistics
-    can skip by `sort` columns."""
+    that holds much of the table is split over several.
+
+    Rows are sorted, so the statistics of row groups skip by `sort` columns. A scan for one value of a `find` column
+    skips row groups by their bloom filters, whatever the order; `distinct` is how many values a row group may hold.
+    """
     spread = df.hint("rebalance", *keys)
     if sort:
         spread = spread.sortWithinPartitions(*keys, *sort)
-    spread.write.partitionBy(*keys).parquet(path)
+    writer = spread.write.option("parquet.block.size", row_group_bytes).partitionBy(*keys)
+    for column in find:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", distinct)
+    writer.parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

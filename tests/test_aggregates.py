@@ -123,7 +123,7 @@ def test_benchmark_is_clipped_to_the_units_years(spark):
 @pytest.mark.parametrize("rows,expected", [([0.5, 1.0], [50.0, 100.0]), ([0.5, 1.01], [0.5, 1.01]), ([None], [None])])
 def test_percent_scaling_is_by_column(spark, rows, expected):
     frame = spark.createDataFrame([(v,) for v in rows], "x double")
-    assert [r.p for r in aggregates.percent_scaled(frame, "x", "p").collect()] == expected
+    assert [r.p for r in aggregates.percent_scaled(frame, {"x": "p"}).collect()] == expected
 
 
 def test_percent_scaling_by_value(values):
@@ -159,6 +159,20 @@ def test_look_up_renamed_keeps_clashing_columns(spark):
 def test_rows_of_latest(spark):
     frame = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", 1, "w")], "u string, year int, v string")
     assert {r.v for r in joins.rows_of_latest(frame, "u", "year").collect()} == {"y", "z", "w"}
+    assert {r.v for r in joins.rows_of_latest(frame, "u", "year", frame.select("u", "year"), "a").collect()} == {"y", "z"}
+    assert joins.rows_of_latest(frame, "u", "year", only="nobody").count() == 0
+    assert {r.v for r in joins.rows_of_latest(frame, ["u"], "year", frame.where("year < 2")).collect()} == {"x", "w"}
+
+
+def test_column_facts_are_one_scan(spark):
+    frame = spark.createDataFrame([(0.5, 3.0, None), (1.0, 2.5, 1.0)], "a double, b double, c double")
+    facts = aggregates.column_facts(frame, {"largest": F.max("a"), "whole": F.bool_and(F.col("b") == F.floor("b")), "rows": F.count("c")})
+    out = frame.select(facts["largest"], facts["whole"], facts["rows"])
+    assert {tuple(r) for r in out.collect()} == {(1.0, False, 1)}
+    scaled = aggregates.percent_scaled(frame, {c: f"{c}_percent" for c in "abc"})
+    assert [tuple(r)[3:] for r in scaled.collect()] == [(50.0, 3.0, None), (100.0, 2.5, 100.0)]
+    text = scaled._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len({line.strip() for line in text.splitlines() if " Subquery subquery#" in line and "Project" not in line}) <= 1
 
 
 def test_stack_extracts_by_name(spark):

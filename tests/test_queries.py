@@ -17,7 +17,7 @@ def oracle(folder) -> duckdb.DuckDBPyConnection:
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
-    assert len(QUERIES) == 72
+    assert len(QUERIES) == 94
 
 
 def test_entry(spark):

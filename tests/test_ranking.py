@@ -100,3 +100,40 @@ def test_mean_and_median_order(spark):
     frame = spark.createDataFrame([("a", 1), ("a", 1), ("a", 100), ("b", 10)], "item string, v int")
     got = {r.item: (r.mean_order, r.median_order) for r in ranking.order_by_summary(frame, "item", "v").collect()}
     assert got == {"a": (2, 1), "b": (1, 2)}
+
+
+def test_long_top_lists_are_not_one_task(uneven, monkeypatch):
+    order = [descending("v"), ascending("id")]
+    want = {(r.id, r["rank"]) for r in ranking.top_rows(uneven, order, 500).collect()}
+    monkeypatch.setattr(ranking, "LISTED", 100)
+    deep = ranking.top_rows(uneven, order, 500)
+    assert {(r.id, r["rank"]) for r in deep.collect()} == want
+    assert "Limit" not in deep._jdf.queryExecution().executedPlan().toString()
+
+
+def test_offsets_of_many_groups_are_not_broadcast(uneven, monkeypatch):
+    monkeypatch.setattr(ranking, "BROADCAST_OFFSETS", 0)
+    order = [ascending("v"), ascending("id")]
+    got = {(r.id, r.place) for r in ranking.ordinal(uneven, order, ["g"], "place").collect()}
+    assert got == {(r.id, r.place) for r in ranking.rank_in_domain(uneven, order, ["g"], "place").collect()}
+
+
+def test_median_of_a_hot_key(spark):
+    """One item holds nine tenths of the rows, another one number many times, one no known value."""
+    x = F.when(F.col("id") % 10 < 9, F.lit("hot")).when(F.col("id") % 100 == 9, "same").when(F.col("id") % 100 == 19, "none").otherwise(F.lit(None))
+    value = F.when(F.col("x") == "same", 5.0).when(F.col("x") == "none", None).otherwise(F.pow((F.col("id") * 7919) % 50_021, F.lit(3)))
+    rows = spark.range(0, 40_001, numPartitions=6).select(x.alias("x"), "id").withColumn("v", value.cast("double")).drop("id")
+    want = {r.x: (r.m, r.a) for r in rows.groupBy("x").agg(F.median("v").alias("m"), F.avg("v").alias("a")).collect()}
+    got = {r.x: (r.median_value, r.mean_value) for r in ranking.mean_and_median(rows, ["x"], "v").collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert got["hot"][1] == pytest.approx(want["hot"][1]) and got["none"] == (None, None)
+    few = spark.createDataFrame([("a", 1), ("a", 2), ("b", 7), (None, 3)], "x string, v int")
+    assert {r.x: r.median_value for r in ranking.mean_and_median(few, ["x"], "v").collect()} == {"a": 1.5, "b": 7.0, None: 3.0}
+
+
+def test_order_of_groups_and_items(spark):
+    rows = [("z", "A", "a1", 5, 30), ("z", "A", "a2", 9, 30), ("z", "B", "b1", 9, 31), ("z", "B", "b1", 9, 31), (None, "A", "a1", 1, 1), (None, "C", "c", 1, 1)]
+    frame = spark.createDataFrame(rows, "zone string, g string, i string, item_total int, group_total int")
+    got = {(r.zone, r.g, r.i): (r.group_rank, r.item_rank) for r in ranking.order_groups_and_items(frame, "g", "i", ["zone"]).collect()}
+    assert got == {("z", "A", "a1"): (2, 2), ("z", "A", "a2"): (2, 1), ("z", "B", "b1"): (1, 1), (None, "A", "a1"): (1, 1), (None, "C", "c"): (2, 1)}
+    assert ranking.order_groups_and_items(frame, "g", "i", ["zone"]).count() == len(rows)

@@ -171,3 +171,28 @@ def test_features_without_shape_or_name(spark, tmp_path):
         document = json.loads("".join(p.read_text() for p in files))
         assert [f["properties"]["name"] for f in document["features"]] == names
         assert document["features"][-1]["geometry"] is None
+
+
+def scanned(df, metric="numOutputRows"):
+    """A metric of the scan, after the query has run."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return leaf.metrics().apply(metric).value()
+
+
+def test_row_groups_of_one_entity(spark, tmp_path):
+    """Sorted columns are skipped by statistics, unsorted ones by bloom filters; plain files skip nothing."""
+    entity = F.concat(F.lit("entity "), F.lpad((F.col("id") % 2000).cast("string"), 5, "0"))
+    unit = F.xxhash64(F.floor(F.col("id") / 10)).alias("unit")
+    frame = spark.range(0, 200_000, numPartitions=1).select(F.lit(2020).alias("year"), entity.alias("entity"), unit, F.rand(1).alias("x"))
+    one = frame.where("x < 0.5").first()["unit"]
+    writers.write_partitions(frame, f"{tmp_path}/good", "year", sort=["entity"], find=["entity", "unit"], row_group_bytes=200_000, distinct=20_000)
+    writers.write_partitions(frame, f"{tmp_path}/plain", "year")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    assert read("good").where("entity = 'entity 00777'").count() == 100
+    assert scanned(read("good").where("entity = 'entity 00777'")) < 30_000
+    assert scanned(read("good").where("entity = 'entity 00777x'")) == 0
+    found = read("good").where(F.col("unit") == one)
+    assert scanned(found) < 150_000 and len(found.collect()) == 10
+    assert scanned(read("good").where(F.col("unit") == 12345)) == 0
+    assert scanned(read("plain").where("entity = 'entity 00777'")) == 200_000

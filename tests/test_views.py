@@ -72,11 +72,12 @@ def test_programs_of_entity(supply):
 def test_occupations_of_zone(demand):
     labels = [("1", "None"), ("3", "Degree")]
     rows = views.occupations_of_zone(demand, "12 Erie CZ", labels, n=2, partial_year=2025).orderBy("rank").collect()
-    assert [(r.soc_title, r.education, r.total, r.title_total, r.group_total) for r in rows] == [
-        ("Boss", "Degree", 40, 60, 60), ("Boss", "Missing", 20, 60, 60)
+    assert [(r.soc_title, r.education, r.total, r.title_total, r.group_total, r.group_rank, r.item_rank) for r in rows] == [
+        ("Boss", "Degree", 40, 60, 60, 1, 1), ("Boss", "Missing", 20, 60, 60, 1, 1)
     ]
     everything = views.occupations_of_zone(demand, "12 Erie CZ", labels, n=None, partial_year=2025).orderBy("rank").collect()
     assert [(r["rank"], r.group, r.soc_title) for r in everything] == [(1, "Management", "Boss"), (2, "Management", "Boss"), (3, "Transportation & Material Moving", "Driver")]
+    assert [r.group_rank for r in everything] == [1, 1, 2]
 
 
 def test_search(spark):
