@@ -46,6 +46,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, f"llm-{label}")
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that `df` doesn't have in any spelling: `wanted` with as many underscores behind as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about `limit` text bytes (one row at least), so that long texts don't add up in memory."""
     for batch in batches:

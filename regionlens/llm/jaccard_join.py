@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionlens.llm.common import components, ship, slices, written
+from regionlens.llm.common import components, free_name, ship, slices, written
 from regionlens.llm.words import mix, shingle_sets
 
 #: A shingle is heavy if it makes up more than 1 / HEAVY of all shingles: there are at most HEAVY of them.
@@ -361,6 +361,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Documents without words stay, one for each id (rows without id: one for each text).
     """
-    keepers = near_duplicate_classes(docs, doc_id, text).select(F.col("keeper").alias("_row")).distinct()
-    keyed = docs.withColumn("_row", row_key(doc_id, text))
-    return keyed.join(keepers, "_row").dropDuplicates(["_row"]).drop("_row")
+    own = free_name(docs, "_row")
+    keepers = near_duplicate_classes(docs, doc_id, text).select(F.col("keeper").alias(own)).distinct()
+    keyed = docs.withColumn(own, row_key(doc_id, text))
+    return keyed.join(keepers, own).dropDuplicates([own]).select(docs.columns)

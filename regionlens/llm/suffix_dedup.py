@@ -11,6 +11,7 @@ A byte goes if it is covered by a `length`-byte string that also starts in a doc
    a new suffix lands where the last-to-first mapping puts it, and its common prefix with its neighbours is one more
    than the least common prefix between the two places before. Transform and common prefixes live in a
    sequential file, read and rewritten once a round.
+   A string that is the only one with its minimiser is settled without it.
 3. Classes. Suffixes with a common prefix of `length` or more are one class; its smallest document keeps the string,
    all others lose it. The result goes back to the documents as spans.
 
@@ -25,6 +26,7 @@ and never take from each other. Rows that repeat an id don't take from each othe
 from __future__ import annotations
 
 import hashlib
+import io
 import tempfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionlens.llm.common import ship, slices, written
+from regionlens.llm.common import free_name, ship, slices, written
 from regionlens.llm.jaccard_join import count_range, node_of, pack, unpack
 from regionlens.llm.words import mix, text_bytes
 
@@ -47,19 +49,17 @@ GROUP = 25_000
 HOT = 40_000
 CHUNK = 8192
 CHUNK_BYTES = 24 << 20
+#: Text bytes whose strings a task holds at a time, and that it hashes at a time.
+STRING_BYTES = 8 << 20
+HASHED_BYTES = 2 << 20
 NO_ID = (1 << 63) - 1
 
 
-def minimisers(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes and bounds of the texts, and for every run of windows its text, first byte, number of windows and minimiser."""
-    data, offsets = text_bytes(column)
-    none = np.zeros(0, np.int64)
-    many = np.maximum(np.diff(offsets) - length + 1, 0)
-    if not many.sum():
-        return data, offsets, none, none, none, np.zeros(0, np.uint64)
+def seed_hashes(data: np.ndarray) -> np.ndarray:
+    """The hash of the `SEED` bytes from every byte on, from hashes of powers of two."""
     h, width, done, covered = mix(data.astype(np.uint64)), 1, None, 0
     want = SEED
-    while want:  # hashes of SEED bytes from hashes of powers of two
+    while want:
         if want & 1:
             if done is None:
                 done, covered = h, width
@@ -70,7 +70,17 @@ def minimisers(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, n
         if want:
             h = mix(h[:-width] * np.uint64(0x9E3779B97F4A7C15) + h[width:])
             width *= 2
-    span, low, width = length - SEED + 1, done, 1
+    return done
+
+
+def minimisers(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and bounds of the texts, and for every run of windows its text, first byte, number of windows and minimiser."""
+    data, offsets = text_bytes(column)
+    none = np.zeros(0, np.int64)
+    many = np.maximum(np.diff(offsets) - length + 1, 0)
+    if not many.sum():
+        return data, offsets, none, none, none, np.zeros(0, np.uint64)
+    span, low, width = length - SEED + 1, seed_hashes(data), 1
     while width * 2 <= span:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
@@ -122,7 +132,7 @@ def requests(rows: DataFrame, length: int, bits: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["range", "chunk", "keys", "places", "idents"])
 
         size = 0
-        for batch in slices(batches):
+        for batch in slices(batches, limit=HASHED_BYTES):
             data, _, text, _, _, key = minimisers(batch.column("text"), length)
             if len(idents) + batch.num_rows > CHUNK or size + len(data) > CHUNK_BYTES:
                 if idents:
@@ -199,8 +209,8 @@ def shared_strings(texts: DataFrame, length: int, bits: int, groups: int, hot: i
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
         size = 0
-        for batch in slices(batches):
-            if len(idents) + batch.num_rows > CHUNK or size > CHUNK_BYTES:
+        for batch in slices(batches, limit=HASHED_BYTES):
+            if len(idents) + batch.num_rows > CHUNK or size > STRING_BYTES:
                 if idents:
                     yield flush()
                 idents, ranks, strings, group_of, low, high, occurrences, size = [], [], {}, [], [], [], [], 0
@@ -238,14 +248,30 @@ def insert_columns(body: np.ndarray, lengths: np.ndarray, folder: str) -> tuple[
     `body` holds the strings behind each other; their bytes are 0 to 254, as in UTF-8. Symbols are bytes + 1, and 0 marks
     the beginning of a string. The first entries are the empty suffixes, in the strings' order.
     """
-    file = Path(folder, "columns")  # a symbol and a common prefix for each suffix, in order
     last = np.cumsum(lengths) - 1
     begins = (body[last] + 1).astype(np.uint8)
-    np.stack([begins, np.zeros_like(begins)], axis=1).tofile(file)
+    with open(Path(folder, "columns"), "w+b", buffering=0) as file:  # a symbol and a common prefix for each suffix, in order
+        return _columns(body, lengths, last, begins, file)
+
+
+def _columns(body: np.ndarray, lengths: np.ndarray, last: np.ndarray, begins: np.ndarray, file: io.FileIO) -> tuple[np.ndarray, np.ndarray]:
+    size = len(begins)
+
+    def rewrite(record: np.ndarray) -> None:  # the file only grows
+        file.seek(0)
+        file.write(record)
+
+    def reread() -> np.ndarray:
+        record = np.empty(size, np.uint16)
+        file.seek(0)
+        file.readinto(record)
+        return record
+
+    rewrite(begins.astype(np.uint16))
     counts = np.bincount(begins, minlength=256)
     active, place = np.arange(len(lengths)), np.arange(len(lengths))  # strings in the order of their latest suffixes
     for column in range(1, int(lengths.max()) + 1):
-        record = np.fromfile(file, np.uint16)
+        record = reread()
         bwt, lcp = (record & 0xFF).astype(np.uint8), (record >> 8).astype(np.uint8)
         order = np.argsort(bwt, kind="stable")  # places by symbol: where the mapping comes from
         symbol = bwt[place]
@@ -274,10 +300,11 @@ def insert_columns(body: np.ndarray, lengths: np.ndarray, folder: str) -> tuple[
         inside = behind < len(old)
         grown[behind[inside]] = (grown[behind[inside]] & 0xFF) | (follower[inside] << 8)
         grown[new] = previous | (own << 8)
-        grown.tofile(file)
+        rewrite(grown)
+        size = len(grown)
         counts += np.bincount(previous, minlength=256)
         active, place = active[left], new[left]
-    record = np.fromfile(file, np.uint16)
+    record = reread()
     return (record & 0xFF).astype(np.uint8), (record >> 8).astype(np.uint8)
 
 
@@ -328,6 +355,26 @@ def window_minima(body: np.ndarray, lengths: np.ndarray, low: np.ndarray, length
     return best[kinds]
 
 
+def settled_minima(strings: list[bytes], low: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of every string the smallest `low` of the strings that hold it, and where a string's windows begin.
+
+    Equal windows have one minimiser, so a string that is alone with its own is settled: nobody else has its windows.
+    The transform is built over the others.
+    """
+    lengths = np.array([len(s) for s in strings], np.int64)
+    windows = lengths - length + 1
+    first = np.cumsum(windows) - windows
+    minima = np.repeat(low, windows)
+    begin = np.cumsum(lengths) - lengths
+    key = _least(seed_hashes(np.frombuffer(b"".join(strings), np.uint8)), begin, begin + lengths - SEED + 1)
+    _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(counts[inverse] > 1)
+    if len(some):
+        body = np.frombuffer(b"".join([strings[i] for i in some]), np.uint8)
+        minima[np.repeat(counts[inverse] > 1, windows)] = window_minima(body, lengths[some], low[some], length)
+    return minima, first
+
+
 def resolver(length: int):
     """For one group: which strings of which chunk have windows with a smaller document, and the documents."""
 
@@ -349,10 +396,7 @@ def resolver(length: int):
                     low[n] = least
                 numbers.append(n)
             own.append((row["chunk"], unpack(row["number"]), np.array(numbers, np.int64), highs, lengths - length + 1))
-        lengths = np.array([len(s) for s in known], np.int64)
-        body = np.frombuffer(b"".join(known), np.uint8)
-        minima = window_minima(body, lengths, np.array(low, np.int64), length)
-        first = np.cumsum(lengths - length + 1) - (lengths - length + 1)
+        minima, first = settled_minima(list(known), np.array(low, np.int64), length)
         least = np.minimum.reduceat(minima, first)
         out = []
         for chunk, number, strings, highs, windows in own:
@@ -487,21 +531,22 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
 
     A character that a cut goes through is dropped. Rows that lose nothing keep their text and size as they are.
     """
-    found = find_spans(docs, doc_id, text, length).select(F.col("ident").alias("_ident"), F.col("spans").alias("_spans"))
+    ident, spans, cut, body = (free_name(docs, n) for n in ("_ident", "_spans", "_cut", "_text"))
+    found = find_spans(docs, doc_id, text, length).select(F.col("ident").alias(ident), F.col("spans").alias(spans))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            pairs = zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist())
+        for batch in slices(batches, body):
+            pairs = zip(batch.column(body).to_pylist(), batch.column(spans).to_pylist())
             kept = [kept_bytes(t.encode(), s)[0].decode(errors="ignore") if s else t for t, s in pairs]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(kept, pa.string())], [*batch.schema.names[:-2], "_text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(kept, pa.string())], [*batch.schema.names[:-2], body])
 
-    ident = F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"), F.lit(5))
     others = [c for c in docs.columns if c != text]
-    rows = docs.withColumn("_ident", ident).join(found, "_ident", "left")
-    rows = rows.select(*others, F.col("_spans").isNotNull().alias("_cut"), F.col(text).cast("string").alias("_text"), "_spans")
-    schema = T.StructType([*rows.schema.fields[:-2], T.StructField("_text", T.StringType())])
+    key = F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"), F.lit(5))
+    rows = docs.withColumn(ident, key).join(found, ident, "left")
+    rows = rows.select(*others, F.col(spans).isNotNull().alias(cut), F.col(text).cast("string").alias(body), spans)
+    schema = T.StructType([*rows.schema.fields[:-2], T.StructField(body, T.StringType())])
     rows = rows.mapInArrow(run, schema)
     if size in others:
-        left = F.length("_text").cast(docs.schema[size].dataType)
-        rows = rows.withColumn(size, F.when(F.col("_cut"), left).otherwise(F.col(size)))
-    return rows.withColumnRenamed("_text", text).select(docs.columns)
+        left = F.length(body).cast(docs.schema[size].dataType)
+        rows = rows.withColumn(size, F.when(F.col(cut), left).otherwise(F.col(size)))
+    return rows.withColumnRenamed(body, text).select(docs.columns)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionlens.llm.common import written
+from regionlens.llm.common import free_name, written
 
 WINDOW = 8
 #: Windows of a run that count as a leak however long the item is: 13 tokens.
@@ -131,8 +131,9 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that no benchmark item contaminates, with all their columns."""
-    gone = written(matches(docs, benchmark, doc_id, text).where("contaminated").select(F.col("key").alias("_key")).distinct(), "contaminated")
-    return docs.withColumn("_key", row_key(doc_id, text)).join(gone, "_key", "left_anti").drop("_key")
+    own = free_name(docs, "_key")
+    gone = written(matches(docs, benchmark, doc_id, text).where("contaminated").select(F.col("key").alias(own)).distinct(), "contaminated")
+    return docs.withColumn(own, row_key(doc_id, text)).join(gone, own, "left_anti").select(docs.columns)
 
 
 #: The same rows in DuckDB: windows are joined as text instead of by hash.

@@ -4,7 +4,7 @@ import pytest
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators use inside, as extra columns of the input.
-CLASHES = ["node", "row", "key", "ident", "rank", "spans", "tokens", "canon", "slots", "uid", "component", "label", "part", "h", "cell", "score", "toxic"]
+CLASHES = ["node", "row", "key", "ident", "rank", "spans", "tokens", "canon", "slots", "uid", "component", "label", "part", "h", "cell", "score", "toxic", "_row", "_key", "_ident", "_spans", "_text", "_cut", "spans_", "digest", "output", "ids", "decoded"]
 
 
 @pytest.fixture
