@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import tempfile
 import zipfile
@@ -46,6 +47,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, f"llm-{label}")
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Workers are reused, and what an earlier stage freed still counts as theirs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that `df` doesn't have in any spelling: `wanted` with as many underscores behind as it takes."""
     taken = {c.lower() for c in df.columns}

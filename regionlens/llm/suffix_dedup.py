@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionlens.llm.common import free_name, ship, slices, written
+from regionlens.llm.common import free_name, give_back, ship, slices, written
 from regionlens.llm.jaccard_join import count_range, node_of, pack, unpack
 from regionlens.llm.words import mix, text_bytes
 
@@ -112,6 +112,7 @@ def requests(rows: DataFrame, length: int, bits: int) -> DataFrame:
     kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         idents: list[int] = []
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -149,6 +150,7 @@ def requests(rows: DataFrame, length: int, bits: int) -> DataFrame:
 
 def shared_keys(table: pa.Table) -> pa.Table:
     """For one chunk: the shared minimisers of each document that has some, with the number of their documents."""
+    give_back()
     rows = table.to_pylist()
     idents = unpack(next(r["idents"] for r in rows if r["idents"] is not None)).view(np.int64)
     rows = [r for r in rows if r["keys"] is not None]
@@ -171,6 +173,7 @@ def shared_strings(texts: DataFrame, length: int, bits: int, groups: int, hot: i
     kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         idents: list[int] = []
         ranks: list[int] = []
         strings: dict[bytes, int] = {}
