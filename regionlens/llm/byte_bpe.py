@@ -16,9 +16,9 @@ rows over all its rounds; longer words get fewer rounds a query and go on in the
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
 from pathlib import Path
 
 import duckdb
@@ -35,33 +35,45 @@ from regionlens.llm.common import ship, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words a worker remembers; bytes of new words in a query; rows of a query over all its rounds; tokens decoded in a query.
-REMEMBERED, WORD_BYTES, ROWS, DECODED = 250_000, 400_000, 6_000_000, 500_000
+REMEMBERED, WORD_BYTES, ROWS, DECODED = 300_000, 400_000, 12_000_000, 300_000
 SLICE = 2 << 20
+#: Some bytes three times in a row; words longer than LOOKED_AT are taken to have such a place without a search.
+THRICE, LOOKED_AT = re.compile(rb"(.+?)\1\1", re.DOTALL), 48
 
-MERGE = """
+_PAIRS = """
 WITH RECURSIVE state AS (
     SELECT word, place, token, 0 AS round FROM fresh
     UNION ALL
     (WITH paired AS MATERIALIZED (
-        SELECT s.*, m.merged, m.alone
-        FROM (SELECT *, lead(token) OVER own AS next, row_number() OVER own AS i
-              FROM state WHERE round < $rounds WINDOW own AS (PARTITION BY word ORDER BY place)) s
+        SELECT s.word, s.place, s.token, s.round, s.behind, s.token = s.next AS twin, m.merged, m.alone
+        FROM (SELECT *, lead(place) OVER own AS behind, CASE WHEN lead(word) OVER own = word THEN lead(token) OVER own END AS next
+              FROM state WHERE round < $rounds WINDOW own AS (ORDER BY place)) s
         LEFT JOIN merges m ON m.pair = CAST(s.token AS BIGINT) * $size + s.next),
     best AS (
-        SELECT word, min(merged) AS least, arg_min(i, (merged, i)) AS leftmost FROM paired WHERE merged IS NOT NULL GROUP BY word),
-    hits AS (
-        SELECT word, place, token, round, merged, i, coalesce(merged = least AND (NOT alone OR i = leftmost), false) AS hit
-        FROM paired JOIN best USING (word)),
-    runs AS (  -- the last row up to here, and the last one before it, that is no hit
-        SELECT *, coalesce(max(CASE WHEN NOT hit THEN i END) OVER (PARTITION BY word ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS upto,
-            coalesce(max(CASE WHEN NOT hit THEN i END) OVER (PARTITION BY word ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-        FROM hits)
-    -- of hits in a row, which overlap, the first, third, ... contract; each takes in the row behind it
-    SELECT word, place, CASE WHEN hit AND (i - upto) % 2 = 1 THEN merged ELSE token END, round + 1 FROM runs WHERE (i - 1 - before) % 2 = 0))
+        SELECT word, min(merged) AS least, min(CAST(merged AS BIGINT) * 4294967296 + place) % 4294967296 AS leftmost
+        FROM paired WHERE merged IS NOT NULL GROUP BY word),
+    hits AS MATERIALIZED (
+        SELECT word, place, behind, token, round, merged, twin, coalesce(merged = least AND (NOT alone OR place = leftmost), false) AS hit
+        FROM paired JOIN best USING (word))
+"""
+_LAST = """
 SELECT word, last = $rounds AS open, list(token ORDER BY place) AS ids
 FROM state JOIN (SELECT word, max(round) AS last FROM state GROUP BY word) USING (word)
 WHERE round = last GROUP BY word, last
 """
+#: A hit takes in the row behind it. Hits can only overlap where a token stands three times in a row.
+MERGE = _PAIRS + """
+    SELECT word, place, CASE WHEN hit THEN merged ELSE token END, round + 1
+    FROM hits ANTI JOIN (SELECT behind AS place FROM hits WHERE hit) USING (place)))
+""" + _LAST
+#: For words with such places: of hits in a row the first, third, ... contract.
+MERGE_RUNS = _PAIRS + """
+    , islands AS (SELECT place, behind - place AS step, place - (behind - place) * row_number() OVER (ORDER BY place) AS island FROM hits WHERE hit AND twin),
+    skipped AS (SELECT place FROM (SELECT place, row_number() OVER (PARTITION BY island, step ORDER BY place) AS i FROM islands) WHERE i % 2 = 0),
+    taken AS MATERIALIZED (SELECT place, behind FROM hits WHERE hit AND place NOT IN (SELECT place FROM skipped))
+    SELECT word, place, CASE WHEN hit AND place NOT IN (SELECT place FROM skipped) THEN merged ELSE token END, round + 1
+    FROM hits WHERE place NOT IN (SELECT behind FROM taken)))
+""" + _LAST
 
 DECODE = """
 SELECT row, string_agg(hex, '' ORDER BY place) AS hex, count(*) - count(hex) AS unknown
@@ -97,8 +109,10 @@ class Codec:
         self.ranks = ranks_of(path)
         self.cut = regex.compile(pattern).findall
         merges, self.size = merge_table(self.ranks)
+        self.width = np.zeros(self.size, np.int64)
+        self.width[list(self.ranks.values())] = list(map(len, self.ranks))
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         self.base = duckdb.connect(":memory:")
         self.base.execute("SET threads = 1; SET memory_limit = '512MB'; SET temp_directory = ''")
         self.base.register("given", merges)
@@ -113,45 +127,44 @@ class Codec:
         self.base.unregister(name)
         return out
 
-    def merged(self, words: list[bytes]) -> list[list[int]]:
-        """The tokens of words that are no vocabulary entries, by the recursive query until nothing is left to contract."""
-        out: list[list[int]] = [[] for _ in words]
-        open_words = {i: self.single[np.frombuffer(w, np.uint8)] for i, w in enumerate(words)}
-        while open_words:
-            lengths = [len(t) for t in open_words.values()]
-            fresh = pa.table({
-                "word": np.repeat(np.fromiter(open_words, np.int32), lengths),
-                "place": np.arange(sum(lengths), dtype=np.int32),
-                "token": np.concatenate(list(open_words.values())),
-            })
-            rounds = max(2, ROWS // sum(lengths))
-            found = self.query(MERGE, "fresh", fresh, rounds=rounds, size=self.size)
-            open_words = {}
-            for word, more, ids in zip(*(found.column(c).to_pylist() for c in ("word", "open", "ids"))):
-                if more:
-                    open_words[word] = np.array(ids, np.int32)
-                else:
-                    out[word] = ids
+    def merged(self, words: list[bytes]) -> list[bytes]:
+        """The tokens of words that are no vocabulary entries, as 32-bit numbers; long words may go on in further queries."""
+        out = [b""] * len(words)
+        repeating = [len(w) > LOOKED_AT or THRICE.search(w) is not None for w in words]
+        for query, chosen in ((MERGE, False), (MERGE_RUNS, True)):
+            open_words = {i: self.single[np.frombuffer(w, np.uint8)] for i, w in enumerate(words) if repeating[i] == chosen}
+            while open_words:
+                lengths = [len(t) for t in open_words.values()]
+                tokens = np.concatenate(list(open_words.values()))
+                width = self.width[tokens]  # places are counted in bytes, also when a word goes on
+                fresh = pa.table({"word": np.repeat(np.fromiter(open_words, np.int32), lengths), "place": np.cumsum(width) - width, "token": tokens})
+                found = self.query(query, "fresh", fresh, rounds=max(2, ROWS // len(tokens)), size=self.size).combine_chunks()
+                open_words = {}
+                for batch in found.to_batches():
+                    ids = batch.column("ids")
+                    flat, bounds = ids.flatten().to_numpy(), np.append(0, np.cumsum(ids.value_lengths().to_numpy()))
+                    whole = flat.astype(np.int32).tobytes()
+                    for k, (word, more) in enumerate(zip(batch.column("word").to_pylist(), batch.column("open").to_pylist())):
+                        if more:
+                            open_words[word] = flat[bounds[k] : bounds[k + 1]]
+                        else:
+                            out[word] = whole[4 * bounds[k] : 4 * bounds[k + 1]]
         return out
 
     def learn(self, words: Iterable[str]) -> None:
-        """Encode the new ones of these words, in queries of bounded size."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        """Encode these words, in queries of bounded size, and remember them."""
         rest: list[tuple[str, bytes]] = []
         size = 0
 
         def flush() -> None:
             for (word, _), ids in zip(rest, self.merged([body for _, body in rest])):
-                self.known[word] = tuple(ids)
+                self.known[word] = ids
 
         for word in words:
-            if word in self.known:
-                continue
             body = word.encode()
             rank = self.ranks.get(body)
             if rank is not None:
-                self.known[word] = (rank,)
+                self.known[word] = np.int32(rank).tobytes()
                 continue
             if rest and size + len(body) > WORD_BYTES:
                 flush()
@@ -161,16 +174,19 @@ class Codec:
         if rest:
             flush()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit numbers. Words seen before are looked up."""
         pieces = list(map(self.cut, texts))
-        self.learn(set().union(*pieces))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        self.learn([w for w in set().union(*pieces) if w not in self.known])
         known = self.known.__getitem__
-        return [list(chain.from_iterable(map(known, p))) for p in pieces]
+        return [b"".join(map(known, p)) for p in pieces]
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """The bytes of rows of ids that lie behind each other."""
         out = [b""] * len(lengths)
-        tokens = pa.table({"row": np.repeat(np.arange(len(lengths)), lengths), "place": np.arange(len(ids)), "id": ids})
+        tokens = pa.table({"row": np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), "place": np.arange(len(ids), dtype=np.int32), "id": ids})
         found = self.query(DECODE, "tokens", tokens)
         for row, text, unknown in zip(*(found.column(c).to_pylist() for c in ("row", "hex", "unknown"))):
             if unknown:
@@ -197,9 +213,9 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
         own = codec(file)
         for batch in slices(batches, limit=SLICE):
             ids = own.encode(pc.fill_null(batch.column("text"), "").to_pylist())
-            bounds = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(bounds[-1]))
-            arrays = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
+            bounds = np.cumsum([0, *map(len, ids)]) // 4
+            flat = np.frombuffer(b"".join(ids), np.int32)
+            arrays = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), arrays], ["doc_id", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -164,10 +164,14 @@ def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks_of(PATH), special_tokens={})
 
 
+def encoded(codec, texts):
+    return [np.frombuffer(b, np.int32).tolist() for b in codec.encode(texts)]
+
+
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from("aabcthe Éßσ'’sS\n\t.,!0129日本😀ไ่<|>"), max_size=60), max_size=8))
+@given(st.lists(st.text(alphabet=st.sampled_from("aab  cthe Éßσ'’sS\n\t.,!0129日本😀ไ่<|>"), max_size=60), max_size=8))
 def test_encoding_of_any_text(texts):
-    ids = own().encode(texts)
+    ids = encoded(own(), texts)
     assert ids == [library().encode_ordinary(t) for t in texts]
     flat = np.array([i for one in ids for i in one], np.int32)
     assert own().decode(flat, np.array(list(map(len, ids)), np.int64)) == [t.encode() for t in texts]
@@ -177,10 +181,10 @@ def test_long_words(monkeypatch):
     """Words of thousands of letters, also over several queries of few rounds."""
     long = ["z" * 5000, "thethe" * 300, "ab" * 700, "日本" * 800, "qwxk" * 500, "a" * 7]
     want = [library().encode_ordinary(t) for t in long]
-    assert own().encode(long) == want
+    assert encoded(own(), long) == want
     monkeypatch.setattr(byte_bpe, "ROWS", 40_000)
     monkeypatch.setattr(byte_bpe, "REMEMBERED", 0)
-    assert own().encode([*long, ""]) == [*want, []]
+    assert encoded(own(), [*long, ""]) == [*want, []]
 
 
 def test_contraction_order(tmp_path):
@@ -191,7 +195,7 @@ def test_contraction_order(tmp_path):
     small = byte_bpe.Codec(str(file))
     exact = tiktoken.Encoding("small", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
     texts = ["".join(t) for n in range(1, 10) for t in itertools.product("ab", repeat=n)]
-    assert small.encode(texts) == [exact.encode_ordinary(t) for t in texts]
+    assert encoded(small, texts) == [exact.encode_ordinary(t) for t in texts]
 
 
 def test_bpe_of_a_table(spark, documents, folder):
