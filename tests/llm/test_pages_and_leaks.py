@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
-from regionlens.llm.html_content import count_features, extract, learn_weights, main_text, weights_of
+from regionlens.llm.html_content import Weights, extract, learn_weights, main_text, parse, tally
 from regionlens.llm.templates import contaminated_documents, drop_contaminated, matches
 from tools.compare import canonical, oracle_connection
 
@@ -62,9 +62,76 @@ def test_pages_odd_rows(spark):
     assert extract(pages.where("false")).count() == 0
 
 
-def test_weights_have_signs():
-    counts = count_features(["<nav><a>x</a></nav><article><p>one two</p></article><footer>f</footer>"])
-    assert all((w < 0) == f.startswith("<") for f, w in weights_of(counts).items())
+UNNAMED = re.compile(r' (?:class|id|role)=("[^"]*"|\S+?)(?=[ >])')
+BOILERPLATE = re.compile(r"<(/?)(?:nav|footer|header|aside|form)\b")
+
+
+@pytest.mark.parametrize("unnamed", [False, True])
+@pytest.mark.parametrize("divs", [False, True])
+@pytest.mark.parametrize("unmarked", [False, True])
+def test_pages_without_their_marks(spark, folder, weights, unnamed, divs, unmarked):
+    """The expected text is cut from the page as it was; the extraction sees it without class words, element names or the mark."""
+    for row in spark.read.parquet(f"{folder}/pages.parquet").select("html").collect():
+        page = UNNAMED.sub("", row["html"]) if unnamed else row["html"]
+        page = BOILERPLATE.sub(r"<\1div", page) if divs else page
+        page = re.sub(r"<(/?)article", r"<\1div", page) if unmarked else page
+        assert main_text(page, weights) == article_of(row["html"])
+
+
+def test_the_weights_decide(spark, folder, weights):
+    pages = [r["html"] for r in spark.read.parquet(f"{folder}/pages.parquet").select("html").limit(20).collect()]
+    for neutral in (Weights({"": 1.0}, {}), Weights({"": -1.0}, {})):
+        assert all(main_text(p, neutral) != main_text(p, weights) for p in pages)
+
+
+LINE = " ".join(TEXT.split())
+
+
+@pytest.mark.parametrize("part, text", [
+    (f"<div class='related-work'><p>{TEXT}</p></div>", LINE),
+    (f"<p class=alert>{TEXT}</p>", LINE),
+    (f"<section class='discussion'><h2>Discussion</h2><p>{TEXT}</p></section>", f"Discussion\n\n{LINE}"),
+    (f"<div class='page-header'><h1>The title of it</h1></div><p>{TEXT}</p>", f"The title of it\n\n{LINE}"),
+    ("<table><tr><th>Year</th><th>Sum</th></tr><tr><td>1999</td><td>5</td></tr></table>", "Year\n\nSum\n\n1999\n\n5"),
+    ("<p class=notice>Short note.</p><pre>x = 1\n y = 2</pre>", "Short note.\n\nx = 1 y = 2"),
+    (f"<aside class=sidebar><p>{TEXT * 9}</p></aside><p>Last words.</p>", "Last words."),
+    ("<div class=advert>Buy one now</div><form>Name <input><button>Send</button></form><p>Last words.</p>", "Last words."),
+    (f"<p>Last words.</p><section><h3>Comments</h3><ol><li><p>{TEXT}</p></li></ol></section>", "Last words."),
+])
+def test_parts_of_an_article(weights, part, text):
+    page = f"<body><nav><ul><li><a href=x>Home</a></li></ul></nav><article><h1>A title here</h1><p>{TEXT}</p>{part}</article><footer>Foot</footer></body>"
+    assert main_text(page, weights) == f"A title here\n\n{LINE}\n\n{text}"
+
+
+def test_comments_without_class(weights):
+    page = f"<body><article><h1>Title</h1><p>{TEXT}</p></article><h3>Comments</h3><ol><li><p>{TEXT}</p></li></ol></body>"
+    assert main_text(page, weights) == f"Title\n\n{LINE}"
+    assert main_text(page.replace("article", "div"), weights) == f"Title\n\n{LINE}"
+
+
+def test_a_long_page(weights):
+    page = f"<nav><a>x</a></nav><article>{f'<p>{TEXT}</p>' * 20_000}</article><footer>f</footer>"
+    assert main_text(page, weights) == "\n\n".join([LINE] * 20_000)
+
+
+def test_best_region_is_the_best_of_all(weights):
+    """The scan against all contiguous regions, with tags that cost more than the words behind them give."""
+    own = Weights({"": -1.0, "block=p": 2.0, "block=li": 1.5}, {"p": 0.5, "ul": 4.0, "li": 1.0, "div": 6.0})
+    page = "<p>a b<p>c</p><div>junk</div><p>d e f g</p><ul><li>h</li><li>i j k l</li></ul><p>m n</p><div><div><p>o</p></div></div>"
+    parts = parse(page)
+    scores = [own.of(p.features) * p.words if not isinstance(p, tuple) else -own.tags.get(p[0], 0.1) for p in parts]
+    spans = [(i, j) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1)]
+    i, j = max(spans, key=lambda s: sum(scores[s[0] : s[1]]))
+    assert main_text(page, own) == "\n\n".join(p.text for p in parts[i:j] if not isinstance(p, tuple) and own.of(p.features) > 0)
+
+
+def test_labels_are_counted_once_a_page(spark):
+    page = "<nav><a>x</a></nav><article><p>one two</p></article><footer>f</footer>"
+    counts = tally(parse(page))
+    assert counts["block=p\tin=p\tmarked\tsize=0", True] == 1 and counts["<footer>", False] == 2
+    pages = spark.createDataFrame([(i, "u", page) for i in range(50)], "page_id long, url string, html string").repartition(5)
+    assert learn_weights(pages).words == Weights.fit(counts).words
+    assert learn_weights(pages, labelled=0).words == learn_weights(pages.where("false")).words == Weights.fit({}).words
 
 
 ITEM = "A train leaves Boston at 9 km per hour and meets Alice after 12 hours of riding through the long green valley"
