@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import islice
 from pathlib import Path
 
 import duckdb
@@ -36,7 +38,8 @@ from regionlens.llm.common import ship, slices
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words a worker remembers; bytes of new words in a query; rows of a query over all its rounds; tokens decoded in a query.
 REMEMBERED, WORD_BYTES, ROWS, DECODED = 300_000, 400_000, 12_000_000, 300_000
-SLICE = 2 << 20
+#: Text bytes whose new words are encoded together, as a round costs much the same for few words; text bytes of a batch that is handed on.
+GROUP, SLICE = 8 << 20, 2 << 20
 #: Some bytes three times in a row; words longer than LOOKED_AT are taken to have such a place without a search.
 THRICE, LOOKED_AT = re.compile(rb"(.+?)\1\1", re.DOTALL), 48
 
@@ -102,6 +105,14 @@ def merge_table(ranks: dict[bytes, int]) -> tuple[pa.Table, int]:
     return pa.Table.from_arrays(columns, ["pair", "merged", "alone"]), size
 
 
+class Numbers(dict):
+    """Words by number, in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Codec:
     """Encodes and decodes with one rank file in an in-memory database."""
 
@@ -130,25 +141,29 @@ class Codec:
     def merged(self, words: list[bytes]) -> list[bytes]:
         """The tokens of words that are no vocabulary entries, as 32-bit numbers; long words may go on in further queries."""
         out = [b""] * len(words)
-        repeating = [len(w) > LOOKED_AT or THRICE.search(w) is not None for w in words]
+        repeating = [len(w) > LOOKED_AT or len(set(w)) + 2 <= len(w) and THRICE.search(w) is not None for w in words]
         for query, chosen in ((MERGE, False), (MERGE_RUNS, True)):
-            open_words = {i: self.single[np.frombuffer(w, np.uint8)] for i, w in enumerate(words) if repeating[i] == chosen}
-            while open_words:
-                lengths = [len(t) for t in open_words.values()]
-                tokens = np.concatenate(list(open_words.values()))
+            numbers = [i for i, r in enumerate(repeating) if r == chosen]
+            lengths = [len(words[i]) for i in numbers]
+            tokens = self.single[np.frombuffer(b"".join(words[i] for i in numbers), np.uint8)]
+            while numbers:
                 width = self.width[tokens]  # places are counted in bytes, also when a word goes on
-                fresh = pa.table({"word": np.repeat(np.fromiter(open_words, np.int32), lengths), "place": np.cumsum(width) - width, "token": tokens})
+                fresh = pa.table({"word": np.repeat(np.array(numbers, np.int32), lengths), "place": np.cumsum(width) - width, "token": tokens})
                 found = self.query(query, "fresh", fresh, rounds=max(2, ROWS // len(tokens)), size=self.size).combine_chunks()
-                open_words = {}
+                numbers, lengths, rest = [], [], []
                 for batch in found.to_batches():
                     ids = batch.column("ids")
-                    flat, bounds = ids.flatten().to_numpy(), np.append(0, np.cumsum(ids.value_lengths().to_numpy()))
-                    whole = flat.astype(np.int32).tobytes()
-                    for k, (word, more) in enumerate(zip(batch.column("word").to_pylist(), batch.column("open").to_pylist())):
+                    flat = ids.flatten().to_numpy().astype(np.int32)
+                    bounds = np.append(0, np.cumsum(ids.value_lengths().to_numpy())).tolist()
+                    whole = flat.tobytes()
+                    for word, more, start, stop in zip(batch.column("word").to_pylist(), batch.column("open").to_pylist(), bounds, bounds[1:]):
                         if more:
-                            open_words[word] = flat[bounds[k] : bounds[k + 1]]
+                            numbers.append(word)
+                            lengths.append(stop - start)
+                            rest.append(flat[start:stop])
                         else:
-                            out[word] = whole[4 * bounds[k] : 4 * bounds[k + 1]]
+                            out[word] = whole[4 * start : 4 * stop]
+                tokens = np.concatenate(rest) if rest else tokens
         return out
 
     def learn(self, words: Iterable[str]) -> None:
@@ -176,12 +191,13 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit numbers. Words seen before are looked up."""
-        pieces = list(map(self.cut, texts))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.learn([w for w in set().union(*pieces) if w not in self.known])
-        known = self.known.__getitem__
-        return [b"".join(map(known, p)) for p in pieces]
+        words = Numbers()
+        numbers = [array("i", map(words.__getitem__, self.cut(t))) for t in texts]
+        self.learn([w for w in words if w not in self.known])
+        own = list(map(self.known.__getitem__, words))
+        if len(self.known) > REMEMBERED:  # common words are among those of any texts
+            self.known = dict(zip(words, own))
+        return [b"".join(map(own.__getitem__, n)) for n in numbers]
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """The bytes of rows of ids that lie behind each other."""
@@ -211,12 +227,14 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(file)
-        for batch in slices(batches, limit=SLICE):
-            ids = own.encode(pc.fill_null(batch.column("text"), "").to_pylist())
-            bounds = np.cumsum([0, *map(len, ids)]) // 4
-            flat = np.frombuffer(b"".join(ids), np.int32)
-            arrays = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), arrays], ["doc_id", "ids"])
+        for group in slices(batches, limit=GROUP):
+            encoded = iter(own.encode(pc.fill_null(group.column("text"), "").to_pylist()))
+            for batch in slices(iter([group]), limit=SLICE):
+                ids = list(islice(encoded, batch.num_rows))
+                bounds = np.cumsum([0, *map(len, ids)]) // 4
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                arrays = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), arrays], ["doc_id", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
