@@ -37,7 +37,7 @@ from regionlens.llm.common import ship, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words a worker remembers; bytes of new words in a query; rows of a query over all its rounds; tokens decoded in a query.
-REMEMBERED, WORD_BYTES, ROWS, DECODED = 300_000, 400_000, 12_000_000, 300_000
+REMEMBERED, WORD_BYTES, ROWS, DECODED = 300_000, 600_000, 12_000_000, 300_000
 #: Text bytes whose new words are encoded together, as a round costs much the same for few words; text bytes of a batch that is handed on.
 GROUP, SLICE = 8 << 20, 2 << 20
 #: Some bytes three times in a row; words longer than LOOKED_AT are taken to have such a place without a search.
