@@ -3,7 +3,7 @@
 A page becomes a sequence of blocks of text and tags in one pass. Each word of a block scores the log odds that the block
 is content, positive in content and negative in boilerplate; tags score negative, the more the commoner they are in
 boilerplate. One linear scan finds the contiguous region with the highest sum; of its blocks those that score positive
-are the text. No element and no class name is removed by a rule: what a name, a class word, a heading or the shape of a
+are the text. But for elements that hold no text of a page (`HIDDEN`) nothing is removed by its name: what a name, a class word, a heading or the shape of a
 block says is a weight.
 
 The weights are fitted to two kinds of labelled pages: those of the table that mark their own article (`article` or
