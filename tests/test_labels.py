@@ -83,3 +83,16 @@ def test_spread_lookup_uses_many_partitions(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_short_keys(spark):
+    alike = "x" * labels.KEY_CHARS
+    texts = ["a", "b" * 500, "b" * 499 + "a", alike, alike + "b", alike + "a", alike + "a", "County: y", "z" * 41, None]
+    keyed = labels.short_keys(spark.createDataFrame(list(enumerate(texts)), "zone_code int, zone string")).collect()
+    assert max(len(r._key) for r in keyed if r.zone) <= labels.KEY_CHARS + 42
+    assert all(r._key == r.zone for r in keyed if r.zone is None or len(r.zone) <= labels.KEY_CHARS)
+    pairs = sorted({(r.zone, r._key) for r in keyed if r.zone})
+    assert len(pairs) == len({key for _, key in pairs}) == 8  # equal texts have equal keys, others do not
+    assert [key for _, key in pairs] == sorted(key for _, key in pairs)
+    renamed = labels.short_keys(spark.createDataFrame([(1, alike + "c")], "zone_code int, zone string")).first()
+    assert renamed._key not in {key for _, key in pairs}

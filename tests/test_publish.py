@@ -94,3 +94,35 @@ def test_latest_occupations(spark):
     got = [(r.zone, r.year, r.soc_title, r.education, r.total, r.title_total, r["rank"]) for r in shown.orderBy("zone", "rank").collect()]
     assert got == [("y", 2019, "Boss", "None", 1, 1, 1), ("z", 2020, "Boss", "None", 5, 9, 1), ("z", 2020, "Boss", "Missing", 4, 9, 2)]
     assert views.latest_occupations(demand, demand, [("1", "None")], "z", n=None, partial_year=2025).count() == 3
+
+
+def test_long_texts_are_stored_once(spark, tmp_path):
+    root = str(tmp_path / "marts")
+    texts = spark.createDataFrame([("k1", "long one"), ("k2", "long two")], "key string, text string")
+    rows = [("k1", 2019, 5), ("k2", 2019, 6), ("short", 2020, 7), (None, 2020, 8)]
+
+    def run_with(long_texts):
+        fact = Fact(spark.createDataFrame(rows, "zone string, year int, total int"), sort=["zone"])
+        marts = {"all": Mart(["demand"], lambda d: d.groupBy("zone").agg(F.sum("total").alias("total")))}
+        return publish(spark, root, {"demand": fact}, marts, {"zone": long_texts})
+
+    first = run_with(texts)
+    whole = {("long one", 5), ("long two", 6), ("short", 7), (None, 8)}
+    assert {(r.zone, r.total) for r in first.table("demand").collect()} == {(r.zone, r.total) for r in first.table("all").collect()} == whole
+    assert first.table("demand").columns == ["zone", "year", "total"]
+    assert {r.zone for r in first.keyed("demand").collect()} == {"k1", "k2", "short", None}
+    assert {mart for mart, *_ in first.manifest()} == {"demand", "all"}
+    assert run_with(texts).version == 1
+    none = run_with(texts.where("false"))
+    assert none.version == 2 and "Join" not in none.table("all")._jdf.queryExecution().executedPlan().toString()
+    assert {(r.zone, r.total) for r in Published(spark, root, 1).table("all").collect()} == whole
+
+
+def test_facts_hold_no_long_labels(spark):
+    from regionlens.plans.facts import Tables
+    from regionlens.plans.raw import published
+
+    marts = published(Tables(spark, "/root/testdata/sf0.1"))
+    for name in ("supply", "demand", "map_entities", "zone_years"):
+        assert marts.keyed(name).agg(F.max(F.length("zone"))).first()[0] <= 82
+    assert marts.table("zone_years").agg(F.max(F.length("zone"))).first()[0] > 600
