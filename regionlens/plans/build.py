@@ -38,6 +38,7 @@ from regionlens.operators.labels import (
     largest_zone_per_label,
     use_latest_name,
 )
+from regionlens.session import materialize
 
 # The state whose counties have no zone, the word that marks an unknown county.
 SKIPPED_STATE = "02"
@@ -74,10 +75,25 @@ def zone_names(counties: DataFrame, cities: DataFrame, names: DataFrame, state_c
     return dedupe_labels(label_chain(counties, by_city, by_county))
 
 
-def zone_labels(crosswalk: DataFrame, cities: DataFrame, names: DataFrame, state_codes: DataFrame) -> DataFrame:
-    """County, zone code and the zone's unique label."""
+# Bytes of label text that a task attaches to counties.
+LABEL_BYTES = 256 << 20
+
+
+def zone_labels(
+    crosswalk: DataFrame, cities: DataFrame, names: DataFrame, state_codes: DataFrame, label_bytes: int = LABEL_BYTES
+) -> DataFrame:
+    """County, zone code and the zone's unique label.
+
+    A label names many cities where a zone has many, and every county carries it, so the rows are far larger than what
+    they are made from. The labels are written once, one row per zone; the counties are dealt out by what they will weigh.
+    """
     counties = county_zones(crosswalk)
-    return look_up(counties, zone_names(counties, cities, names, state_codes), "zone_code").select("county", "zone_code", "zone")
+    written = materialize(zone_names(counties, cities, names, state_codes), "zone-names")
+    per_zone = counties.groupBy("zone_code").agg(F.count(F.lit(1)).alias("_rows")).join(written, "zone_code")
+    weight = per_zone.agg(F.sum(F.col("_rows") * F.octet_length("zone"))).first()[0] or 0
+    if weight > label_bytes:
+        counties = counties.repartition(-(-weight // label_bytes), "county")
+    return look_up(counties, written, "zone_code").select("county", "zone_code", "zone")
 
 
 def supply_fact(completions: DataFrame, labels: DataFrame) -> DataFrame:

@@ -100,3 +100,9 @@ def test_first_unit_and_whole_places(spark):
     yearly = build.yearly_awards(supply).collect()
     assert [(r.enrolled, r.rural, r.tribal, r.total) for r in yearly] == [(100, 0, 1, 15)]
     assert {(r.unitid, r.latitude, r.longitude) for r in build.map_supply(supply).collect()} == {(1, 10.0, -50.0), (2, 20.0, -80.0)}
+
+
+def test_counties_are_dealt_out_by_the_weight_of_their_labels(raw, labels):
+    spread = build.zone_labels(raw["crosswalk"], raw["cities"], raw["names"], raw["states"], label_bytes=10)
+    assert "REPARTITION_BY_NUM" in spread._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in spread.collect()} == {tuple(r) for r in labels.collect()}
