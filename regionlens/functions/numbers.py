@@ -64,7 +64,14 @@ def to_long(value: Column) -> Column:
 
 
 def half_even(value: Column, digits: int = 0) -> Column:
-    return F.bround(value, digits)
+    """Nearest number with so many digits; a tie goes to the even one. What is a tie is decided on the value times 10^digits.
+
+    `bround` goes by the shortest decimal text of a double instead: 1.6500000000000001, which is 16.5 tenths, gives 1.7 there.
+    """
+    if digits == 0:
+        return F.bround(value, 0)
+    scale = F.lit(float(10**digits))
+    return F.rint(value * scale) / scale + F.lit(0.0)
 
 
 def is_whole(value: Column) -> Column:

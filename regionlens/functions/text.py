@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from regionlens.functions.numbers import half_even
+
 
 def strip_space(value: Column) -> Column:
     """Remove every kind of whitespace at both ends."""
@@ -43,7 +45,7 @@ def comma_tenths(value: Column) -> Column:
 
 def plain_number(value: Column, digits: int) -> Column:
     """Rounded number without trailing zeros and without an exponent."""
-    text = F.when(value.isNotNull(), F.format_string(f"%.{digits}f", F.bround(value, digits)))
+    text = F.when(value.isNotNull(), F.format_string(f"%.{digits}f", half_even(value, digits)))
     return F.regexp_replace(text, r"\.?0+$", "") if digits > 0 else text
 
 

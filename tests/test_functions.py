@@ -160,3 +160,10 @@ def test_label_codes_marks_missing(spark):
     assert got == [("first", 1), ("z", 3), ("Missing", 4)]
     turned = [r.label_rank for r in codes.label_codes(frame, "code", labels, reverse=True).orderBy("i").collect()]
     assert turned == [2, 3, 4]
+
+
+def test_ties_as_in_sql(values):
+    shares = [n / 2000 for n in (17, 33, 137, 143, 277, 283, 667)]
+    assert values(shares, "double", text.percent_text(F.col("x"))) == ["0.8%", "1.6%", "6.8%", "7.2%", "13.8%", "14.2%", "33.4%"]
+    assert values([0.0165 * 100, 7.1499999999999995, -0.04, None], "double", numbers.half_even(F.col("x"), 1)) == [1.6, 7.2, 0.0, None]
+    assert values([-0.04], "double", text.plain_number(F.col("x"), 1)) == ["0"]
