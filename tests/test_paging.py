@@ -44,3 +44,11 @@ def test_names_and_empty_tables(table, tmp_path):
     with pytest.raises(ValueError):
         store_in_order(table, order(), str(tmp_path / "a"), row="v")
     assert store_in_order(table.limit(0), order(), str(tmp_path / "b")).page(1).count() == 0
+
+
+def test_a_larger_table_has_larger_slices_and_not_more(table, tmp_path):
+    stored = store_in_order(table, order(), str(tmp_path / "s"), slice_rows=3, slices=7)
+    assert len(list((tmp_path / "s").glob("_slice=*"))) == 7 and stored.slice_rows == 715
+    for number, size in ((1, 10), (72, 10), (143, 5), (500, 10)):  # 715 and 716 lie in two slices
+        want = sorted(tuple(r) for r in ranking.page(table, order(), number, size).collect())
+        assert sorted(tuple(r) for r in stored.page(number, size).collect()) == want and len(want) == size
