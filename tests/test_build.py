@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from regionlens.plans import build
+from regionlens.plans.facts import Tables
+from regionlens.plans.raw import inputs, raw_completions
 from regionlens.sources import schemas
 
 
@@ -106,3 +110,27 @@ def test_counties_are_dealt_out_by_the_weight_of_their_labels(raw, labels):
     spread = build.zone_labels(raw["crosswalk"], raw["cities"], raw["names"], raw["states"], label_bytes=10)
     assert "REPARTITION_BY_NUM" in spread._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in spread.collect()} == {tuple(r) for r in labels.collect()}
+
+
+def test_tables_that_grow_are_not_broadcast_by_the_size_of_their_files(spark, raw, labels, folder, tmp_path):
+    """Labels, populations and parts take a few bytes a row in files, so the check at planning would broadcast them at any size."""
+
+    def stored(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    own = {name: stored(df, name) for name, df in {**raw, "labels": labels}.items()}
+    rows = build.demand_rows(own["postings"], own["labels"], own["occupations"], own["population"], ["energy", "farm work"])
+    completions = stored(spark.createDataFrame([], schemas.COMPLETIONS), "completions")
+    yearly = stored(build.yearly_postings(build.demand_of_rows(rows, build.occupation_titles(own["occupations"]))), "yearly")
+    t = Tables(spark, folder)
+    made = [
+        (rows, "county", 2), (build.supply_fact(completions, own["labels"]), "county", 1),
+        (build.zones_on_map(yearly, own["labels"], own["population"]), "county", 2),  # for the residents and for the largest zone
+        (build.zone_names(build.county_zones(own["crosswalk"]), own["cities"], own["names"], own["states"]), "county", 1),
+        (raw_completions(t), "l_partkey", 1), (inputs(t).postings, "l_partkey", 1),
+    ]
+    for df, key, least in made:
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert not re.search(rf"BroadcastHashJoin \[(cast\()?{key}#", plan)
+        assert len(re.findall(rf"SortMergeJoin \[(?:cast\()?{key}#", plan)) >= least
