@@ -51,7 +51,7 @@ CHUNK = 8192
 CHUNK_BYTES = 24 << 20
 #: Text bytes whose strings a task holds at a time, and that it hashes at a time.
 STRING_BYTES = 8 << 20
-HASHED_BYTES = 2 << 20
+HASHED_BYTES = 1 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -104,7 +104,7 @@ def minimisers(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, n
         first, ends, text = np.repeat(starts, pieces), np.repeat(ends, pieces), np.repeat(text, pieces)
         starts = first + step * span
         ends = np.minimum(ends, starts + span)
-    return data, offsets, text, starts, ends - starts, low[starts]
+    return data, offsets, text, starts, ends - starts, mix(low[starts])  # smallest hashes crowd in the lowest ranges
 
 
 def requests(rows: DataFrame, length: int, bits: int) -> DataFrame:
@@ -119,11 +119,12 @@ def requests(rows: DataFrame, length: int, bits: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             ids = np.array(idents, np.int64)
             keys, places = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            found.clear()
             order = np.lexsort((places, keys))
             keys, places = keys[order], places[order]
             first = np.ones(len(keys), bool)
             first[1:] = (keys[1:] != keys[:-1]) | (places[1:] != places[:-1])
-            keys, places = keys[first] >> np.uint64(32 - bits), places[first].astype(np.uint16)
+            keys, places = keys[first] >> np.uint64(32 - bits), places[first]
             chunk = node_of(ids)
             part = (keys >> np.uint64(32)).astype(np.int64)
             bounds = np.flatnonzero(np.diff(part, prepend=-1, append=1 << 40))
@@ -139,7 +140,7 @@ def requests(rows: DataFrame, length: int, bits: int) -> DataFrame:
                 if idents:
                     yield flush()
                 idents, found, size = [], [], 0
-            found.append((key, text + len(idents)))
+            found.append((key, (text + len(idents)).astype(np.uint16)))  # below CHUNK
             idents += batch.column("ident").to_pylist()
             size += len(data)
         if idents:
@@ -382,6 +383,7 @@ def resolver(length: int):
     """For one group: which strings of which chunk have windows with a smaller document, and the documents."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         rows = table.to_pylist()
         known: dict[bytes, int] = {}
         low: list[int] = []

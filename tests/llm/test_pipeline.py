@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from __spark_entry__ import oracle_sql, queries
-from regionlens.llm.common import table, written
+from regionlens.llm import suffix_dedup, words
+from regionlens.llm.common import give_back, table, written
 from regionlens.llm.queries import ORACLES, QUERIES
 from test_near_duplicates import brute_repeats, brute_sets, classes
 
@@ -40,3 +43,18 @@ def test_stages(spark, folder):
     again = corpus_pipeline.run(spark, folder)
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, again.select(key).collect())) == sorted(tuple(r[c] for c in key) for r in packed)
+
+
+def test_workers_give_back_what_they_keep():
+    first, inverse = (a.copy() for a in words.powers(1000))
+    give_back()
+    assert "powers" not in words._STATE and "inverse" not in words._STATE
+    assert (words.powers(1000)[0] == first).all() and (words.powers(1000)[1] == inverse).all()
+
+
+def test_minimisers_spread_over_the_hash_ranges():
+    """Nearly all smallest hashes begin with zeros, so that one range, and one task, would get them all."""
+    letters = np.random.default_rng(1).integers(97, 123, 200_000).astype(np.uint8).tobytes().decode()
+    key = suffix_dedup.minimisers(pa.array([letters]), 50)[-1]
+    share = np.bincount((key >> np.uint64(60)).astype(int), minlength=16) / len(key)
+    assert len(key) > 5000 and share.max() < 0.1
