@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 # A key is hot when it holds more than this part of all rows, so there are fewer than 1 / HOT_SHARE.
 HOT_SHARE = 0.001
 SPREAD = 64
+# Rows that a task takes of a table that is dealt out by their number.
+TASK_ROWS = 500_000
+
+
+def dealt_out(df: DataFrame, *keys: str, rows: int = TASK_ROWS) -> DataFrame:
+    """The rows dealt out by `keys`, about `rows` to a task, whatever their bytes; counts `df`, a job that reads no columns of plain files.
+
+    For keys that hardly repeat: a sum by them then needs no other shuffle and holds `rows` groups at most, and no row of
+    theirs is summed in front of it in vain.
+    """
+    tasks = -(-df.count() // rows)
+    return df.repartition(max(1, tasks), *keys)
 
 
 def hot_keys(counts: DataFrame, key: str, rows: str, share: float = HOT_SHARE) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,8 @@ MANIFEST = "mart string, part string, run string, print string, columns string"
 NO_YEAR = "year=__HIVE_DEFAULT_PARTITION__"
 # Below this name the long texts of a column are stored, as `key` and `text`.
 TEXTS = "texts_of_"
+# Of the rows of a fact that are written before they are printed and stored.
+ROW_GROUP_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -150,9 +152,9 @@ def publish(
     `texts`: by column, the `key` and `text` of the long ones; facts and sides come with the keys.
 
     A folder is written again if its print differs: that of a year's rows, of the source's year, or of all that a whole
-    table is made from. Marts are made in the order given, from tables that are stored by then, so a table is computed
-    once, whatever reads it. Prints don't know the functions: after a change of these publish to a new root. Only
-    one caller may publish to a root at a time.
+    table is made from. The rows of a fact are written once, as the prints and the folders both read them. Marts are made
+    in the order given, from tables that are stored by then, so a table is computed once, whatever reads it. Prints don't
+    know the functions: after a change of these publish to a new root. Only one caller may publish to a root at a time.
     """
     old, new = Published(spark, root), Published(spark, root, -1)
     new.version = old.version + 1
@@ -180,6 +182,7 @@ def publish(
         print_ = side_prints([long_texts.select("key", "text")])
         add(f"{TEXTS}{column}", {} if long_texts.isEmpty() else {"": print_}, lambda _, d=long_texts: d.select("key", "text"), ())
     for name, fact in facts.items():
+        fact = replace(fact, rows=materialize(fact.rows, f"{name}-rows", ROW_GROUP_BYTES))
         add(name, year_prints(fact), lambda redo, f=fact: f.make(f.rows.where(of_parts(redo))), fact.sort)
     for name, mart in marts.items():
         made_from = sorted((r["mart"], r["part"], r["print"]) for r in new.rows if r["mart"] in mart.sources and r["run"])

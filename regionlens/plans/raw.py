@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionlens.operators.joins import sorted_side
+from regionlens.operators.skew import dealt_out
 from regionlens.plans.facts import FOCUS, QUANTITY, Tables
 from regionlens.plans.publish import Inputs, Published, publish_all
 from regionlens.session import scratch_path
@@ -42,8 +43,8 @@ def inputs(t: Tables, completions: DataFrame | None = None) -> Inputs:
     occupations = listed.select("soc", "soc_title", F.expr("p_size % 5 + 1 AS ed_req"), F.expr("p_size % 2 AS focus_flag"), industry)
     ordered = t.read("lineitem").selectExpr("l_orderkey", "l_partkey", f"{QUANTITY} AS total")
     placed = ordered.join(t.read("orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey", "year(o_orderdate) AS year"), "l_orderkey")
-    sums = placed.groupBy("o_custkey", "year", "l_partkey").agg(F.sum("total").alias("total"))
-    coded = sums.join(sorted_side(parts.selectExpr("p_partkey AS l_partkey", f"{SOC} AS soc")), "l_partkey").groupBy("o_custkey", "year", "soc").agg(F.sum("total").alias("total"))
+    # hardly two lines share customer, year and part: summed by part first, every line would cross one more shuffle
+    coded = placed.join(sorted_side(parts.selectExpr("p_partkey AS l_partkey", f"{SOC} AS soc")), "l_partkey").groupBy("o_custkey", "year", "soc").agg(F.sum("total").alias("total"))
     named = "CASE WHEN county % 50 = 0 THEN 'Unknown County' ELSE 'County ' || CAST(county AS STRING) END AS county_name"
     postings = coded.selectExpr("CAST(o_custkey AS INT) AS county", "year", "soc", "total").selectExpr("county", named, "year", "soc", "total")
     return Inputs(
@@ -61,7 +62,9 @@ def inputs(t: Tables, completions: DataFrame | None = None) -> Inputs:
 
 def raw_completions(t: Tables) -> DataFrame:
     lines = t.read("lineitem").selectExpr("l_suppkey", "l_partkey", "l_linenumber", "year(l_shipdate) AS year", f"{QUANTITY} AS total", f"{FOCUS} AS focus")
-    sold = lines.groupBy("l_suppkey", "l_partkey", "l_linenumber", "year").agg(F.sum("total").alias("total"), F.sum("focus").alias("focus"))
+    keys = ["l_suppkey", "l_partkey", "l_linenumber", "year"]
+    # hardly two lines share these, so they are dealt out first: summing them before as well would hold all lines of a split
+    sold = dealt_out(lines, *keys).groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("focus").alias("focus"))
     units = t.read("supplier").selectExpr("s_suppkey AS l_suppkey", "s_name", "s_acctbal")
     parts = t.read("part").selectExpr("p_partkey AS l_partkey", "p_brand", "p_name")
     return sold.join(sorted_side(parts), "l_partkey").join(units, "l_suppkey").selectExpr(

@@ -113,6 +113,22 @@ def test_hot_part_is_summed_before_it_is_joined(spark, tmp_path):
     assert result.where("title = 'n5'").count() == 70
 
 
+def test_lines_are_dealt_out_before_sums_that_hardly_shrink_them(spark, folder):
+    """Completions by unit, part, line number and year are nearly as many as the lines: no split holds a sum of its own in memory."""
+    from regionlens.operators.skew import dealt_out
+    from regionlens.plans.facts import Tables
+    from regionlens.plans.raw import inputs, raw_completions
+
+    t = Tables(spark, folder)
+    text = raw_completions(t)._jdf.queryExecution().executedPlan().toString()
+    scan = text.index("lineitem.parquet")
+    assert re.findall(r"partial_sum|REPARTITION_BY_NUM", text[:scan])[-1] == "REPARTITION_BY_NUM"
+    assert inputs(t).postings._jdf.queryExecution().executedPlan().toString().count("partial_sum") == 1
+    lines = t.read("lineitem")
+    spread = dealt_out(lines, "l_suppkey", "l_partkey", rows=1000)
+    assert spread.rdd.getNumPartitions() == -(-lines.count() // 1000) and spread.exceptAll(lines).isEmpty()
+
+
 def exchanges(node):
     """All exchanges of a plan, with their column types and what lies below them."""
     if "Exchange" in node.nodeName():

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regionlens.plans import views
-from regionlens.plans.publish import Fact, Mart, Published, publish, row_print
+from regionlens.plans.publish import Fact, Mart, Published, publish, row_print, year_prints
 
 ROWS = [("a", 2019, "01", "Farm", "3", 5, 4), ("a", 2020, "01", "Farm", "3", 6, 5), ("b", 2019, "14", "Eng", "1", 7, 1), ("b", 2021, "14", "Eng", "1", 8, 0), ("c", None, "14", "Eng", "1", 9, 9)]
 SCHEMA = "entity string, year int, code string, title string, award_level string, total int, focus int"
@@ -54,6 +54,13 @@ def test_versions(spark, tmp_path):
         fourth.table("nothing")
 
 
+def test_rows_of_a_fact_are_computed_once(spark, tmp_path):
+    """The prints are those of the rows that are stored, also if computing the rows again gives others."""
+    rows = spark.createDataFrame(ROWS, SCHEMA).withColumn("title", F.expr("uuid()"))
+    made = publish(spark, str(tmp_path / "marts"), {"supply": Fact(rows)}, {})
+    assert {part: mark for _, part, _, mark in made.manifest()} == year_prints(Fact(made.table("supply")))
+
+
 def test_no_rows_and_failed_runs(spark, tmp_path):
     root = str(tmp_path / "marts")
     empty = run(spark, root, [])
