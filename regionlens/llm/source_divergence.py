@@ -27,7 +27,7 @@ LEAST = 10
 SHOWN = 10
 SCALE = 1_000_000_000
 #: Counts that a worker holds before it hands them on, and letters of terms.
-HELD, HELD_BYTES = 200_000, 16 << 20
+HELD, HELD_BYTES = 400_000, 16 << 20
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -93,7 +93,8 @@ def count_terms(collapsed: DataFrame) -> DataFrame:
             yield table()
 
     rows = collapsed.mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # dealt out by term: the counts of all its sources meet in the one exchange, so what a language has of it needs no other
+    return rows.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column | str, total: Column | str, kept: Column | str) -> Column:
@@ -120,9 +121,10 @@ def audit(
     language all pairs are 0. Repeated rows count as documents of their own. Other columns are not read; an empty table gives no rows.
     """
     groups = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source")).distinct()
-    counts = written(count_terms(collapse(docs, text, lang, source)), "term-counts")
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all_n")).where(F.col("docs") >= least)
-    kept = written(counts.join(kept.drop("docs"), ["lang", "term"]).select("lang", "source", "term", "n", "all_n"), "kept-counts")
+    counts = count_terms(collapse(docs, text, lang, source))
+    of_term = Window.partitionBy("lang", "term")  # a row for each source that has the term
+    known = counts.select("lang", "source", "term", "n", F.sum("n").over(of_term).alias("all_n"), F.sum("docs").over(of_term).alias("all_docs"))
+    kept = written(known.where(F.col("all_docs") >= least).drop("all_docs"), "kept-counts")
 
     # one row per group: its total, its number of terms, and what holds for its language
     langs = kept.groupBy("lang", "term").agg(F.first("all_n").alias("all_n")).groupBy("lang")

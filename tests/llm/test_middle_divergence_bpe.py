@@ -18,6 +18,8 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from regionlens.llm import byte_bpe, fill_in_middle, source_divergence
 from regionlens.llm.queries import QUERIES
@@ -215,3 +217,13 @@ def test_bpe_of_a_table(spark, documents, folder):
     assert [(r["row"], bytes(r["decoded"]), r["hex"]) for r in byte_bpe.decode(odd).collect()] == [(1, b"", "k"), (2, b"", "k")]
     with pytest.raises(Exception, match="not in the vocabulary"):
         byte_bpe.decode(spark.createDataFrame([([99_999_999],)], "ids array<int>")).collect()
+
+
+def test_counts_of_terms_cross_one_exchange(documents):
+    """All sources of a term meet where its counts are added, so the sums of a language need no exchange of their own."""
+    docs = documents([(i, f"one two three{i % 3}", "en") for i in range(30)], clashing=False)
+    counts = source_divergence.count_terms(source_divergence.collapse(docs))
+    of_term = Window.partitionBy("lang", "term")
+    plan = counts.withColumn("all", F.sum("docs").over(of_term))._jdf.queryExecution().executedPlan().toString()
+    below = plan[: plan.index("MapInArrow")] if "MapInArrow" in plan else plan[: plan.index("PythonMapInArrow")]
+    assert below.count("Exchange") == 1
