@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from regionlens.llm.common import components, free_name, ship, slices, written
 from regionlens.llm.words import mix, shingle_sets
+from regionlens.session import passing_tables
 
 #: A shingle is heavy if it makes up more than 1 / HEAVY of all shingles: there are at most HEAVY of them.
 HEAVY = 1 << 19
@@ -328,6 +329,17 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     rows = docs.select(row_key(doc_id, text).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sets = written(document_sets(rows, width), "sets")
     kept = sets.where("many is null").select("row", "doc_id", "n_shingles", "node")
+    with passing_tables(spark):
+        classes = _written_classes(rows, sets, kept, width, percent)
+    full = kept.where("node is not null").join(classes, "node")
+    empty = kept.where("node is null").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id"), "keeper": F.col("row")})
+    columns = ["row", "doc_id", "n_shingles", "node", "component", "component_id", "keeper"]
+    return full.select(columns).union(empty.select(columns))
+
+
+def _written_classes(rows: DataFrame, sets: DataFrame, kept: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, component, component_id, keeper) of every node."""
+    spark = rows.sparkSession
     named = kept.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "row")).alias("first"), F.max("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
     named = written(named.select("node", "n", "doc_id", F.col("first.row").alias("row"), F.col("first.unnamed").alias("unnamed")), "nodes")
     total = named.agg(F.sum("n")).first()[0] or 0
@@ -349,11 +361,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     classes = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = written(classes, "node-classes")
     least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("unnamed", "row")).alias("first"))
-    classes = written(classes.select("node", "component").join(least.select("component", "component_id", F.col("first.row").alias("keeper")), "component"), "classes")
-    full = kept.where("node is not null").join(classes, "node")
-    empty = kept.where("node is null").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id"), "keeper": F.col("row")})
-    columns = ["row", "doc_id", "n_shingles", "node", "component", "component_id", "keeper"]
-    return full.select(columns).union(empty.select(columns))
+    return written(classes.select("node", "component").join(least.select("component", "component_id", F.col("first.row").alias("keeper")), "component"), "classes", result=True)
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -40,6 +40,7 @@ from pyspark.sql import types as T
 from regionlens.llm.common import free_name, give_back, ship, slices, written
 from regionlens.llm.jaccard_join import count_range, node_of, pack, unpack
 from regionlens.llm.words import mix, text_bytes
+from regionlens.session import passing_tables
 
 SEED = 16
 #: Minimisers wanted in a hash range, strings wanted in a group.
@@ -471,6 +472,11 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
     """(ident, spans) of the documents that lose bytes; spans are pairs of 64-bit bounds in the UTF-8 bytes."""
     spark = docs.sparkSession
     ship(spark)
+    with passing_tables(spark):
+        return _written_spans(docs, doc_id, text, length, hot)
+
+
+def _written_spans(docs: DataFrame, doc_id: str, text: str, length: int, hot: int) -> DataFrame:
     rows = keyed(docs, doc_id, text)
     sizes = written(rows.select("ident", "rank", F.octet_length("text").alias("size"), F.md5(F.col("text").cast("binary")).alias("content")), "texts")
     total = sizes.agg(F.sum("size")).first()[0] or 0
@@ -499,7 +505,7 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
             pairs = [np.array([0, n], np.int64).tobytes() for n in batch.column("size").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("ident"), pa.array(pairs, pa.binary())], ["ident", "spans"])
 
-    return written(spans.union(copies.mapInArrow(whole, "ident long, spans binary")).dropDuplicates(["ident"]), "spans")
+    return written(spans.union(copies.mapInArrow(whole, "ident long, spans binary")).dropDuplicates(["ident"]), "spans", result=True)
 
 
 def kept_bytes(text: bytes, spans: bytes | None) -> tuple[bytes, int, int]:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 from __spark_entry__ import oracle_sql, queries
-from regionlens.llm import suffix_dedup, words
+from regionlens.llm import jaccard_join, suffix_dedup, words
 from regionlens.llm.common import give_back, table, written
 from regionlens.llm.queries import ORACLES, QUERIES
+from regionlens.session import SHUFFLE_CLEANUP, passing_tables, scratch_root
 from test_near_duplicates import brute_repeats, brute_sets, classes
 
 
@@ -58,3 +61,30 @@ def test_minimisers_spread_over_the_hash_ranges():
     key = suffix_dedup.minimisers(pa.array([letters]), 50)[-1]
     share = np.bincount((key >> np.uint64(60)).astype(int), minlength=16) / len(key)
     assert len(key) > 5000 and share.max() < 0.1
+
+
+def test_only_results_stay_on_disk(spark, folder):
+    """A stage's working tables go when its result is written; before, all of them stayed to the end of the pipeline."""
+    docs, root = table(spark, folder, "documents"), Path(scratch_root(spark))
+    before = set(root.iterdir())
+    left = lambda: sorted(p.name.rsplit("-", 1)[0] for p in set(root.iterdir()) - before)
+    assert suffix_dedup.find_spans(docs).count() > 0 and left() == ["llm-spans"]
+    assert jaccard_join.drop_near_duplicates(docs).count() > 0 and left() == ["llm-classes", "llm-sets", "llm-spans"]
+
+
+def test_passing_tables_go_also_after_a_failure(spark):
+    setting = spark.conf.get(SHUFFLE_CLEANUP, None)
+    kept = []
+    try:
+        with passing_tables(spark):
+            with passing_tables(spark):
+                kept.append(written(spark.range(3), "passing"))
+                kept.append(written(spark.range(4), "inner-result", result=True))
+            assert kept[1].count() == 4
+            assert not list(Path(scratch_root(spark)).glob("llm-passing-*"))
+            raise ValueError
+    except ValueError:
+        pass
+    stays = [p.name for p in Path(scratch_root(spark)).glob("llm-*")]
+    assert not any("passing" in n or "inner-result" in n for n in stays)
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == setting
