@@ -37,7 +37,7 @@ from regionlens.llm.common import ship, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words a worker remembers; bytes of new words in a query; rows of a query over all its rounds; tokens decoded in a query.
-REMEMBERED, WORD_BYTES, ROWS, DECODED = 300_000, 600_000, 12_000_000, 300_000
+REMEMBERED, WORD_BYTES, ROWS, DECODED = 450_000, 600_000, 12_000_000, 300_000
 #: Text bytes whose new words are encoded together, as a round costs much the same for few words; text bytes of a batch that is handed on.
 GROUP, SLICE = 8 << 20, 2 << 20
 #: Some bytes three times in a row; words longer than LOOKED_AT are taken to have such a place without a search.
@@ -123,7 +123,7 @@ class Codec:
         self.width = np.zeros(self.size, np.int64)
         self.width[list(self.ranks.values())] = list(map(len, self.ranks))
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, bytes] = {}
+        self.words, self.known = Numbers(), []  # words by number, and the tokens of each number as 32-bit numbers
         self.base = duckdb.connect(":memory:")
         self.base.execute("SET threads = 1; SET memory_limit = '512MB'; SET temp_directory = ''")
         self.base.register("given", merges)
@@ -166,38 +166,47 @@ class Codec:
                 tokens = np.concatenate(rest) if rest else tokens
         return out
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encode these words, in queries of bounded size, and remember them."""
-        rest: list[tuple[str, bytes]] = []
+    def learn(self, words: Iterable[str]) -> list[bytes]:
+        """The tokens of each word as 32-bit numbers, found in queries of bounded size."""
+        out: list[bytes] = []
+        rest: list[tuple[int, bytes]] = []
         size = 0
 
         def flush() -> None:
-            for (word, _), ids in zip(rest, self.merged([body for _, body in rest])):
-                self.known[word] = ids
+            for (i, _), ids in zip(rest, self.merged([body for _, body in rest])):
+                out[i] = ids
 
-        for word in words:
+        for i, word in enumerate(words):
             body = word.encode()
             rank = self.ranks.get(body)
-            if rank is not None:
-                self.known[word] = np.int32(rank).tobytes()
-                continue
-            if rest and size + len(body) > WORD_BYTES:
-                flush()
-                rest, size = [], 0
-            rest.append((word, body))
-            size += len(body)
+            out.append(b"" if rank is None else np.int32(rank).tobytes())
+            if rank is None:
+                if rest and size + len(body) > WORD_BYTES:
+                    flush()
+                    rest, size = [], 0
+                rest.append((i, body))
+                size += len(body)
         if rest:
             flush()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit numbers. Words seen before are looked up."""
-        words = Numbers()
-        numbers = [array("i", map(words.__getitem__, self.cut(t))) for t in texts]
-        self.learn([w for w in words if w not in self.known])
-        own = list(map(self.known.__getitem__, words))
+        numbers = [array("i", map(self.words.__getitem__, self.cut(t))) for t in texts]
+        self.known += self.learn(islice(self.words, len(self.known), None))  # the new words are the last ones
+        ids = np.frombuffer(b"".join(self.known), np.int32)
+        many = np.fromiter(map(len, self.known), np.int64, len(self.known)) // 4
+        first = np.cumsum(many) - many
+        out = []
+        for n in numbers:
+            own = np.frombuffer(n, np.int32)
+            n_ids = many[own]
+            shift = first[own] - np.cumsum(n_ids) + n_ids
+            out.append(ids[np.repeat(shift, n_ids) + np.arange(len(own) and n_ids.sum())].tobytes())
         if len(self.known) > REMEMBERED:  # common words are among those of any texts
-            self.known = dict(zip(words, own))
-        return [b"".join(map(own.__getitem__, n)) for n in numbers]
+            used, words = sorted(set().union(*numbers)), list(self.words)
+            self.words, self.known = Numbers((words[i], k) for k, i in enumerate(used)), [self.known[i] for i in used]
+        return out
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """The bytes of rows of ids that lie behind each other."""

@@ -227,3 +227,19 @@ def test_counts_of_terms_cross_one_exchange(documents):
     plan = counts.withColumn("all", F.sum("docs").over(of_term))._jdf.queryExecution().executedPlan().toString()
     below = plan[: plan.index("MapInArrow")] if "MapInArrow" in plan else plan[: plan.index("PythonMapInArrow")]
     assert below.count("Exchange") == 1
+
+
+def test_numbers_of_words_last_over_calls(monkeypatch):
+    """Words keep their numbers from call to call, also after a call that failed before it had learned them."""
+    codec = byte_bpe.Codec(PATH)
+    texts = ["qzxv unseenword qzxv", "", "yet anotherunseen qzxv"]
+    with monkeypatch.context() as broken:
+        broken.setattr(codec, "merged", lambda words: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            codec.encode(["brokenunseen qzxv", *texts])
+    fresh = byte_bpe.Codec(PATH)
+    assert codec.encode(texts) == fresh.encode(texts) and len(codec.words) == len(codec.known)
+    monkeypatch.setattr(fresh, "merged", lambda words: 1 / 0)
+    assert fresh.encode(texts[::-1]) == codec.encode(texts[::-1])  # nothing is left to learn
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 2)
+    assert codec.encode(["and more unseenwords"]) and codec.encode(texts) == fresh.encode(texts)
