@@ -105,3 +105,21 @@ def test_texts_are_scored_in_small_slices(spark, documents, monkeypatch):
     monkeypatch.setattr(toxicity, "SCORED_BYTES", 1 << 30)
     whole = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     assert len(small) == 400 and all(abs(small[i] - whole[i]) < 1e-6 for i in small)
+
+
+def test_every_labelled_row_trains(spark, documents, words):
+    """7,000 clean rows, of which 40 have a language of their own: all of them are known to the classifier, also if many parts train."""
+    rows, labels = [], []
+    for i in range(7300):
+        own = f"l{i:04d}" if i < 7000 and i % 175 == 0 else "en"
+        rows.append((i, " ".join(words[(i * 7 + k * 13) % 900] for k in range(6)) + (" zzbad" if i >= 7000 else ""), own))
+        labels.append((i, int(i >= 7000)))
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs = documents([*rows, *rows[:50]], clashing=False)  # repeated rows count once
+    assert toxicity.labelled_features(docs, marks, F.lit(True)).count() == 7300
+    many = toxicity.fit(docs, marks, F.lit(True), part_words=15_000)
+    assert len(many.languages) == 41
+    assert np.array_equal(many.word, toxicity.fit(docs.repartition(3), marks, F.lit(True), part_words=15_000).word)
+    out = toxicity.score(docs, many).groupBy((F.col("doc_id") >= 7000).alias("bad")).agg(F.avg("predicted").alias("share")).collect()
+    shares = {r["bad"]: r["share"] for r in out}
+    assert shares[True] > 0.9 and shares[False] < 0.05
