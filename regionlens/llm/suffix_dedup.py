@@ -11,7 +11,7 @@ A byte goes if it is covered by a `length`-byte string that also starts in a doc
    a new suffix lands where the last-to-first mapping puts it, and its common prefix with its neighbours is one more
    than the least common prefix between the two places before. Transform and common prefixes live in a
    sequential file, read and rewritten once a round.
-   A string that is the only one with its minimiser is settled without it.
+   A string that agrees with no other one around its minimiser is settled without it.
 3. Classes. Suffixes with a common prefix of `length` or more are one class; its smallest document keeps the string,
    all others lose it. The result goes back to the documents as spans.
 
@@ -58,7 +58,7 @@ NO_ID = (1 << 63) - 1
 
 def seed_hashes(data: np.ndarray) -> np.ndarray:
     """The hash of the `SEED` bytes from every byte on, from hashes of powers of two."""
-    h, width, done, covered = mix(data.astype(np.uint64)), 1, None, 0
+    h, width, done, covered = mix(np.arange(256, dtype=np.uint64))[data], 1, None, 0
     want = SEED
     while want:
         if want & 1:
@@ -182,10 +182,12 @@ def shared_strings(texts: DataFrame, length: int, bits: int, groups: int, hot: i
         group_of: list[int] = []
         low: list[int] = []
         high: list[int] = []
-        occurrences: list[tuple[int, int, int]] = []  # place, start, string
+        numbers: list[int] = []  # of each occurrence the string and the first byte, by text
+        begins: list[int] = []
+        counts: list[int] = []
 
-        def add(place: int, start: int, string: bytes, key: int, rank: int) -> None:
-            n = strings.setdefault(string, len(strings))
+        def add(start: int, string: bytes, key: int, rank: int) -> None:
+            n = strings.setdefault(string, len(low))
             if n == len(low):
                 group_of.append(key % groups)
                 low.append(rank)
@@ -194,7 +196,8 @@ def shared_strings(texts: DataFrame, length: int, bits: int, groups: int, hot: i
                 low[n] = rank
             elif rank > high[n]:
                 high[n] = rank
-            occurrences.append((place, start, n))
+            numbers.append(n)
+            begins.append(start)
 
         def flush() -> pa.RecordBatch:
             ids = np.array(idents, np.int64)
@@ -204,8 +207,8 @@ def shared_strings(texts: DataFrame, length: int, bits: int, groups: int, hot: i
             order = np.argsort(group, kind="stable")
             lengths = np.array([len(s) for s in every], np.uint8)
             lows, highs = np.array(low, np.int64).view(np.uint64), np.array(high, np.int64).view(np.uint64)
-            where = np.array(occurrences, np.int64).reshape(-1, 3)
-            out = [(-1, chunk, None, None, pack(where[:, 2].astype(np.uint32)), pack(np.array(ranks, np.int64).view(np.uint64)), None, pack(ids.view(np.uint64)), pack(where[:, 0].astype(np.uint16)), pack(where[:, 1].astype(np.uint32)))]
+            places = np.repeat(np.arange(len(counts), dtype=np.uint16), np.diff(counts, prepend=0))
+            out = [(-1, chunk, None, None, pack(np.array(numbers, np.uint32)), pack(np.array(ranks, np.int64).view(np.uint64)), None, pack(ids.view(np.uint64)), pack(places), pack(np.array(begins, np.uint32)))]
             bounds = np.flatnonzero(np.diff(group[order], prepend=-1, append=1 << 40))
             for a, b in zip(bounds[:-1], bounds[1:]):
                 own = order[a:b]
@@ -218,28 +221,39 @@ def shared_strings(texts: DataFrame, length: int, bits: int, groups: int, hot: i
             if len(idents) + batch.num_rows > CHUNK or size > STRING_BYTES:
                 if idents:
                     yield flush()
-                idents, ranks, strings, group_of, low, high, occurrences, size = [], [], {}, [], [], [], [], 0
+                idents, ranks, strings, group_of, low, high, numbers, begins, counts, size = [], [], {}, [], [], [], [], [], [], 0
             data, offsets, text, starts, windows, key = minimisers(batch.column("text"), length)
             whole = data.tobytes()
             key = key >> np.uint64(32 - bits)
             bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
             columns = (batch.column(c).to_pylist() for c in ("ident", "rank", "keys", "df"))
             for i, (ident, rank, known, df) in enumerate(zip(*columns)):
-                place = len(idents)
                 idents.append(ident)
                 ranks.append(rank)
                 known, df = np.frombuffer(known, np.uint64), np.frombuffer(df, np.uint32)
-                a, b = bounds[i], bounds[i + 1]
+                a, b, base = bounds[i], bounds[i + 1], int(offsets[i])
                 at = np.minimum(np.searchsorted(known, key[a:b]), len(known) - 1)
-                for r in (np.flatnonzero(known[at] == key[a:b])).tolist():
-                    start, n = int(starts[a + r]), int(windows[a + r])
-                    if df[at[r]] > hot:
-                        for s in range(start, start + n):
+                some = np.flatnonzero(known[at] == key[a:b])
+                first = starts[a + some]
+                stop = first + windows[a + some] + length - 1
+                for start, end, own, many in zip(first.tolist(), stop.tolist(), key[a + some].tolist(), df[at[some]].tolist()):
+                    if many > hot:
+                        for s in range(start, end - length + 1):
                             string = whole[s : s + length]
-                            add(place, s - int(offsets[i]), string, int.from_bytes(hashlib.blake2b(string, digest_size=7).digest(), "little"), rank)
-                    else:
-                        string = whole[start : start + n + length - 1]
-                        add(place, start - int(offsets[i]), string, int(key[a + r]) * 0x9E3779B1 >> 7, rank)
+                            add(s - base, string, int.from_bytes(hashlib.blake2b(string, digest_size=7).digest(), "little"), rank)
+                        continue
+                    string = whole[start:end]
+                    n = strings.get(string)
+                    if n is None:
+                        add(start - base, string, own * 0x9E3779B1 >> 7, rank)
+                        continue
+                    if rank < low[n]:
+                        low[n] = rank
+                    elif rank > high[n]:
+                        high[n] = rank
+                    numbers.append(n)
+                    begins.append(start - base)
+                counts.append(len(numbers))
             size += len(data)
         if idents:
             yield flush()
@@ -280,10 +294,9 @@ def _columns(body: np.ndarray, lengths: np.ndarray, last: np.ndarray, begins: np
         bwt, lcp = (record & 0xFF).astype(np.uint8), (record >> 8).astype(np.uint8)
         order = np.argsort(bwt, kind="stable")  # places by symbol: where the mapping comes from
         symbol = bwt[place]
-        by = np.argsort(symbol, kind="stable")
+        by = np.argsort(symbol, kind="stable")  # places ascend, so this is also the order of the new suffixes
         at = np.empty(len(place), np.int64)
         at[by] = _ranks(order, counts, symbol[by], place[by])
-        new = at - counts[0] + len(lengths)  # beginnings have no longer suffix; the empty suffixes come before all others
         # common prefixes with the neighbours: one more than the least between the places they come from
         before, after = order[at - 1], order[np.minimum(at + 1, len(order) - 1)]
         joins = (at > 0) & (bwt[before] == symbol)
@@ -292,8 +305,8 @@ def _columns(body: np.ndarray, lengths: np.ndarray, last: np.ndarray, begins: np
         own[joins] = _least(lcp, before[joins] + 1, place[joins] + 1) + 1
         follower = np.zeros(len(place), np.uint16)
         follower[joined] = _least(lcp, place[joined] + 1, after[joined] + 1) + 1
-        by = np.argsort(new)
-        new, own, follower, active = new[by], own[by], follower[by], active[by]
+        new = at[by] - counts[0] + len(lengths)  # beginnings have no longer suffix; the empty suffixes come before all others
+        own, follower, active = own[by], follower[by], active[by]
         left = lengths[active] > column
         previous = np.zeros(len(active), np.uint8)
         previous[left] = body[last[active[left]] - column] + 1
@@ -325,15 +338,12 @@ def _ranks(order: np.ndarray, counts: np.ndarray, symbols: np.ndarray, places: n
 
 
 def _least(values: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """The least value of each range, none of them empty."""
+    """The least value of each range, none of them empty. The ranges begin or end in ascending order, else what lies between them costs time."""
     if not len(first):
         return np.zeros(0, values.dtype)
-    by = np.argsort(first, kind="stable")
-    bounds = np.empty(2 * len(by), np.int64)
-    bounds[0::2], bounds[1::2] = first[by], stop[by]
-    out = np.empty(len(by), values.dtype)
-    out[by] = np.minimum.reduceat(np.append(values, values[-1:]), bounds)[0::2]
-    return out
+    bounds = np.empty(2 * len(first), np.int64)
+    bounds[0::2], bounds[1::2] = first, stop
+    return np.minimum.reduceat(np.append(values, values[-1:]), bounds)[0::2]
 
 
 def window_minima(body: np.ndarray, lengths: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
@@ -360,23 +370,41 @@ def window_minima(body: np.ndarray, lengths: np.ndarray, low: np.ndarray, length
     return best[kinds]
 
 
+def related(body: np.ndarray, lengths: np.ndarray, length: int) -> np.ndarray:
+    """Which strings may have a window in common with another one.
+
+    Equal windows have one minimiser, at the same place. Of the `length` - `SEED` bytes around it at least half lie on one
+    side, so the strings also agree in the `SEED` bytes that begin half as many bytes before the minimiser or behind its start.
+    """
+    ends = np.cumsum(lengths)
+    begin, half = ends - lengths, -(-(length - SEED) // 2)
+    seeds = seed_hashes(body)
+    key = _least(seeds, begin, ends - SEED + 1)
+    own = np.repeat(np.arange(len(lengths)), lengths)[: len(seeds)]
+    at = np.flatnonzero(seeds == key[own])
+    at = at[at + SEED <= ends[own[at]]]  # a minimiser may come several times
+    out = np.zeros(len(lengths), bool)
+    for move in (-half, half):
+        inside = at[(at + move >= begin[own[at]]) & (at + move + SEED <= ends[own[at]])]
+        _, inverse, counts = np.unique(mix(seeds[inside] * np.uint64(0x9E3779B97F4A7C15) + seeds[inside + move]), return_inverse=True, return_counts=True)
+        out[own[inside[counts[inverse] > 1]]] = True
+    return out
+
+
 def settled_minima(strings: list[bytes], low: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For every window of every string the smallest `low` of the strings that hold it, and where a string's windows begin.
 
-    Equal windows have one minimiser, so a string that is alone with its own is settled: nobody else has its windows.
-    The transform is built over the others.
+    A string that agrees with no other one around its minimiser is settled: nobody else has its windows. The transform is
+    built over the others.
     """
     lengths = np.array([len(s) for s in strings], np.int64)
     windows = lengths - length + 1
     first = np.cumsum(windows) - windows
     minima = np.repeat(low, windows)
-    begin = np.cumsum(lengths) - lengths
-    key = _least(seed_hashes(np.frombuffer(b"".join(strings), np.uint8)), begin, begin + lengths - SEED + 1)
-    _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-    some = np.flatnonzero(counts[inverse] > 1)
-    if len(some):
-        body = np.frombuffer(b"".join([strings[i] for i in some]), np.uint8)
-        minima[np.repeat(counts[inverse] > 1, windows)] = window_minima(body, lengths[some], low[some], length)
+    some = related(np.frombuffer(b"".join(strings), np.uint8), lengths, length)
+    if some.any():
+        body = np.frombuffer(b"".join([strings[i] for i in np.flatnonzero(some)]), np.uint8)
+        minima[np.repeat(some, windows)] = window_minima(body, lengths[some], low[some], length)
     return minima, first
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from regionlens.llm import suffix_dedup
 from regionlens.llm.common import components
 from regionlens.llm.jaccard_join import drop_near_duplicates, near_duplicate_classes, pack, unpack
 from regionlens.llm.nn_descent import near_duplicates
@@ -203,3 +204,30 @@ def test_nn_descent_odd_rows(spark):
     expected = [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (None, 0, None, None)] + [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10)]
     assert out == sorted(expected, key=str)
     assert near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_only_related_strings_are_built(monkeypatch):
+    """Strings with one minimiser that differ on both sides of it have no window in common; whatever the strings, the minima stay those of brute force."""
+    draw = np.random.default_rng(3)
+    letters = lambda n, kinds=26: bytes(draw.integers(97, 97 + kinds, n, np.uint8))
+    built = []
+    build = suffix_dedup.window_minima
+    monkeypatch.setattr(suffix_dedup, "window_minima", lambda body, lengths, low, length: built.append(len(lengths)) or build(body, lengths, low, length))
+    seed = min((letters(16) for _ in range(20_000)), key=lambda s: int(suffix_dedup.seed_hashes(np.frombuffer(s, np.uint8))[0]))  # the minimiser of nearly all strings
+    alone = [letters(30) + seed + letters(30) for _ in range(50)]
+    suffix_dedup.settled_minima(alone, np.arange(50), 50)
+    assert not built
+    for length in (50, 21, 17):
+        parts = [letters(60) for _ in range(4)] + [(letters(n, 2) * 60)[:90] for n in (1, 2, 3, 7)] + [letters(60, 2)]
+        texts = [b"".join([parts[i][int(draw.integers(0, 30)) :] + letters(int(draw.integers(0, 9)), 2) for i in draw.integers(0, len(parts), 12)]) for _ in range(25)]
+        data, _, _, starts, windows, _ = suffix_dedup.minimisers(pa.array([t.decode() for t in texts]), length)
+        strings = sorted({data[a : a + n + length - 1].tobytes() for a, n in zip(starts.tolist(), windows.tolist())})  # runs of windows with one minimiser
+        low = draw.permutation(len(strings)).astype(np.int64)
+        best: dict[bytes, int] = {}
+        for s, n in zip(strings, low.tolist()):
+            for at in range(len(s) - length + 1):
+                best[s[at : at + length]] = min(n, best.get(s[at : at + length], n))
+        minima, first = suffix_dedup.settled_minima(strings, low, length)
+        assert minima.tolist() == [best[s[at : at + length]] for s in strings for at in range(len(s) - length + 1)]
+        assert first[-1] + len(strings[-1]) - length + 1 == len(minima)
+    assert built
