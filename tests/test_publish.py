@@ -133,3 +133,54 @@ def test_facts_hold_no_long_labels(spark):
     for name in ("supply", "demand", "map_entities", "zone_years"):
         assert marts.keyed(name).agg(F.max(F.length("zone"))).first()[0] <= 82
     assert marts.table("zone_years").agg(F.max(F.length("zone"))).first()[0] > 600
+
+
+def test_working_tables_go_step_by_step(spark):
+    """While a step runs only the table before it is there, and a publication leaves nothing but its own folders."""
+    import os
+
+    from regionlens.plans.facts import Tables
+    from regionlens.plans.publish import publish_all
+    from regionlens.plans.raw import written_inputs
+    from regionlens.session import passing_tables, scratch_path, scratch_root, stepwise
+
+    def there():
+        return set(os.listdir(scratch_root(spark).removeprefix("file://")))
+
+    spark.range(1).write.parquet(scratch_path(spark, "first"))  # the folder is made when something is written
+    before, seen = there(), []
+
+    def step(df):
+        seen.append(sorted(name.rsplit("-", 1)[0] for name in there() - before))
+        return df.selectExpr("id + 1 AS id")
+
+    with passing_tables(spark):
+        made = stepwise(spark, "count", lambda: spark.range(3), step, step, step)
+        assert seen == [[], ["count-0"], ["count-1"]] and [name.rsplit("-", 1)[0] for name in there() - before] == ["count-2"]
+        assert sorted(r.id for r in made.collect()) == [3, 4, 5]
+    assert there() == before
+    root = scratch_path(spark, "kept")
+    marts = publish_all(spark, root, written_inputs(Tables(spark, "/root/testdata/sf0.001")), 2001, 2000)
+    assert there() - before == {os.path.basename(root)}
+    assert marts.table("supply").count() > 0 and marts.table("demand").count() > 0
+
+
+def test_no_plan_joins_all_tables_of_a_fact(spark, monkeypatch):
+    """What is written in one go crosses few shuffles, as all of a plan's shuffle files stay until it ends."""
+    from regionlens import session
+    from regionlens.plans.facts import Tables
+    from regionlens.plans.publish import publish_all
+    from regionlens.plans.raw import written_inputs
+
+    joins = {}
+    write = session.materialize
+
+    def counted(df, label, *args, **more):
+        joins[label] = max(joins.get(label, 0), len(re.findall(r"Join", df._jdf.queryExecution().optimizedPlan().toString())))
+        return write(df, label, *args, **more)
+
+    monkeypatch.setattr(session, "materialize", counted)
+    monkeypatch.setattr("regionlens.plans.publish.materialize", counted)
+    publish_all(spark, session.scratch_path(spark, "marts"), written_inputs(Tables(spark, "/root/testdata/sf0.001")), 2001, 2000)
+    facts = {label: n for label, n in joins.items() if not label.startswith("zone-")}
+    assert len(facts) > 8 and max(n for label, n in facts.items() if label != "supply-rows-0") == 1, facts
