@@ -291,12 +291,13 @@ def _columns(body: np.ndarray, lengths: np.ndarray, last: np.ndarray, begins: np
     active, place = np.arange(len(lengths)), np.arange(len(lengths))  # strings in the order of their latest suffixes
     for column in range(1, int(lengths.max()) + 1):
         record = reread()
-        bwt, lcp = (record & 0xFF).astype(np.uint8), (record >> 8).astype(np.uint8)
+        bwt, lcp = record.astype(np.uint8), (record >> 8).astype(np.uint8)  # the low byte and the high one
         order = np.argsort(bwt, kind="stable")  # places by symbol: where the mapping comes from
         symbol = bwt[place]
         by = np.argsort(symbol, kind="stable")  # places ascend, so this is also the order of the new suffixes
-        at = np.empty(len(place), np.int64)
-        at[by] = _ranks(order, counts, symbol[by], place[by])
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        at = rank[place].astype(np.int64)
         # common prefixes with the neighbours: one more than the least between the places they come from
         before, after = order[at - 1], order[np.minimum(at + 1, len(order) - 1)]
         joins = (at > 0) & (bwt[before] == symbol)
@@ -326,17 +327,6 @@ def _columns(body: np.ndarray, lengths: np.ndarray, last: np.ndarray, begins: np
     return (record & 0xFF).astype(np.uint8), (record >> 8).astype(np.uint8)
 
 
-def _ranks(order: np.ndarray, counts: np.ndarray, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Where places of sorted symbols stand in the order of places by symbol."""
-    first = np.cumsum(counts) - counts
-    out = np.empty(len(places), np.int64)
-    bounds = np.flatnonzero(np.diff(symbols.astype(np.int16), prepend=-1, append=256))
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        c = symbols[a]
-        out[a:b] = first[c] + np.searchsorted(order[first[c] : first[c] + counts[c]], places[a:b])
-    return out
-
-
 def _least(values: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """The least value of each range, none of them empty. The ranges begin or end in ascending order, else what lies between them costs time."""
     if not len(first):
